@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import containment, language, near_dups, packing, quality_classifier, quality_rules, toxicity
+from siltstone.llm import containment, html_text, language, licenses, near_dups, packing, quality_classifier, quality_rules, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
@@ -50,12 +54,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_duplicates": NEAR_DUPLICATES, "op6_quality_rules": quality_rules_sql(), "op7_decontamination": DECONTAMINATION}
+    return {"op3_near_duplicates": NEAR_DUPLICATES, "op6_quality_rules": quality_rules_sql(), "op7_decontamination": DECONTAMINATION, "op9_warc": WARC}
 
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
@@ -97,6 +109,13 @@ where 100 * n_shared >= 75 * n"""
 )
 
 
+#: SHA-1 as hexadecimal digits, in groups of five bits; recursion over the 32 letters is plain arithmetic.
+WARC = """with p as (select page_id, coalesce(html, '') as t, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as h from pages),
+bits as (select page_id, t, n, h, list_transform(generate_series(0, 31), lambda k: (('0x' || substr(h || '0000', (k * 5) // 4 + 1, 3))::int >> (7 - (k * 5) % 4)) % 32) as b from p),
+d as (select page_id, n, h, array_to_string(list_transform(b, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1)), '') as digest, max(page_id) over (partition by h) as top from bits)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id = top then null else top end as refers_to from d"""
+
+
 def quality_rules_sql() -> str:
     stop = ", ".join(f"'{w}'" for w in sorted({w for line in quality_rules.STOP_WORDS.values() for w in line.split()}))
     verdict = " and ".join(f"({ratio}) {sign} {bound}::double" for _, ratio, least, most in quality_rules.THRESHOLDS for sign, bound in ((">=", least), ("<=", most)) if bound is not None)
