@@ -82,6 +82,7 @@ def verdict(thresholds=THRESHOLDS) -> Column:
     """The table as one condition over the measures; a ratio without a value (no words) fails."""
     parts = []
     for _, ratio, least, most in thresholds:
+        ratio = f"try_divide({ratio.replace(' / ', ', ')})" if " / " in ratio else ratio
         if least is not None:
             parts.append(f"({ratio}) >= {least}")
         if most is not None:
