@@ -37,7 +37,7 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     texts = [t or "" for t in texts]
     size = np.array([len(t) + 1 for t in texts])
     points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.append(np.repeat(np.arange(len(texts)), size), len(texts) - 1)
+    row = np.append(np.repeat(np.arange(len(texts)), size), len(texts))
     is_letter, lower = _letters()
     low = np.minimum(points, 0xFFFF)
     letter = np.where(points > 0xFFFF, True, is_letter[low])

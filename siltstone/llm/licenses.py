@@ -38,8 +38,8 @@ NOTICES = (
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
 )
 
-#: Each notice's words of highest inverse document frequency that files look up.
-RARE = 5
+#: Each notice's words of highest inverse document frequency, of those that files have, that are looked up.
+RARE = 8
 #: Looked-up words that must agree on a notice's place, at least.
 AGREEING = 2
 
@@ -81,8 +81,8 @@ class Index:
         for k, (label, key, text) in enumerate(notices):
             words = text.split()
             known = {at: number[w] for at, w in enumerate(words) if w in number}
-            rare = sorted({v for at, v in known.items() if words[at] not in _COMMON}, key=lambda v: (-idf[v], v))[:RARE]
-            self.notices.append((label, tuple(number[w] for w in key.split()), known, min(AGREEING, len(rare))))
+            rare = sorted({v for at, v in known.items() if words[at] not in _COMMON and v in frequency}, key=lambda v: (-idf[v], v))[:RARE]
+            self.notices.append((label, tuple(number[w] for w in key.split()), known, max(1, min(AGREEING, len(rare)))))
             for at, v in known.items():
                 if v in rare:
                     self.postings.setdefault(v, []).append((k, at))
