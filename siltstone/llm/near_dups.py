@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import U64, Words, int_list, mix64, shared_folder, shingles, slices, small_batches, stored
@@ -111,6 +111,42 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("id", "lead", "text", "lead_text").mapInArrow(_verify, "id long, lead long").distinct()
 
 
+def _rows_of_shingles(batches):
+    for whole in batches:
+        for batch in slices(whole, "text", 1 << 19):
+            flat, at = shingles(Words(batch.column("text")))
+            sets = [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            size = np.array([len(s) for s in sets], np.int64)
+            keys = np.array([mix64(s).sum(dtype=U64) if len(s) else 0 for s in sets], U64).view(np.int64)
+            row = pa.array(np.repeat(np.arange(len(sets)), size))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(row), batch.column("component").take(row), pa.array(np.repeat(size, size)), pa.array(np.repeat(keys, size)), pa.array(np.concatenate(sets).view(np.int64))],
+                names=["id", "component", "n", "own", "shingle"],
+            )
+
+
+def across(apart: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """(id, lead) pairs of different components that may be links: every link is among them.
+
+    A link shares at least 75 % of either set, so it shares one of each side's rarest quarter of
+    shingles, in any one order of all shingles: here, by how many of these documents have it. The first
+    that it shares leaves at most the shingles from there on to be shared; if those are too few, the
+    pair is no link. Edits make shingles that no other copy has and that come first, so even in a
+    large family of copies few pairs are left.
+    """
+    least, most = SIMILAR
+    texts = texts.select(F.col("doc_id").cast("long").alias("id"), "text").join(apart, "id")
+    rows = texts.select("id", "component", "text").mapInArrow(_rows_of_shingles, "id long, component long, n long, own long, shingle long")
+    rows = rows.repartition("shingle")
+    count = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id", "own").orderBy("df", "shingle")
+    rare = rows.join(count, "shingle").withColumn("place", F.dense_rank().over(order)).where(f"place <= n - ceil(n * {least} / {most}) + 1 and df > 1")
+    rare = stored(rare.select("shingle", "id", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")).distinct(), f"{folder}-rare")
+    others = rare.select("shingle", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"), F.col("left").alias("lead_left"))
+    close = f"least(left, lead_left) * {least + most} >= (n + lead_n) * {least}"
+    return rare.join(others, "shingle").where("component < lead_component").where(close).select("id", "lead").distinct()
+
+
 def components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame:
     """(id, component): each node that has an edge, with the smallest node reachable from it.
 
@@ -142,8 +178,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     2. Representatives meet in the buckets of 32 bands of 4 coordinates (a pair at similarity 0.75
        is missed with probability 5e-6). In each bucket all are checked against the member that
        meets most others, so a group of copies costs as many checks as it has members.
-    3. Bucket mates that are still in different components are checked pair by pair. Mates in
-       one component need no check, as a link between them can't change the result.
+    3. Documents of buckets that still hold several components are searched for links between
+       components by their rarest shingles (see across), which is exact. Mates in one component
+       need no check, as a link between them can't change the result.
 
     Null or blank texts have no shingles and no links. Rows that repeat a doc_id are one node of
     the graph, each returned. A null doc_id is linked with nothing, has a null component, and is kept.
@@ -170,10 +207,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     placed = places.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    placed = placed.join(mixed, "bucket").select("bucket", "id", "n", "component")
-    others = placed.select("bucket", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"))
-    rest = placed.join(others, "bucket").where("component < lead_component").where(close)
-    rest = rest.select("id", "lead").distinct()
+    apart = stored(placed.join(mixed, "bucket").select("id", "component").distinct(), f"{folder}/apart")
+    rest = across(apart, documents.select("doc_id", "text"), f"{folder}/across")
     tried = stars.select("id", "lead").union(stars.select(F.col("lead").alias("id"), F.col("id").alias("lead")))
     rest = stored(rest.join(tried, ["id", "lead"], "left_anti"), f"{folder}/rest")
     second = stored(verified(rest, documents.select("doc_id", "text")), f"{folder}/second")
