@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.functions.workspace import stored
 from siltstone.operators.parsing import matches
 from siltstone.operators.terms import border, line_border, score, term_counts
 from siltstone.operators.tokens import MASK, display, labelled, protected, tokens
@@ -15,21 +16,18 @@ FREQUENT = 20_000
 LONGEST = 64
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, where its source has fewer."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def sequences(messages: DataFrame, config: Config) -> DataFrame:
-    """Distinct token sequences of messages (msg, and epoch, ord and line if there) with what groups need of their lines."""
+    """Distinct token sequences of messages (msg, and epoch, ord and line if there) with what groups need of their lines.
+
+    They are stored: term counts, masks and groups all read them.
+    """
     rows = messages.withColumn("tokens", tokens(F.col("msg"), config))
     aggregates = [F.count("*").alias("lines")]
     if "epoch" in messages.columns:
         line = F.col("line") if "line" in messages.columns else F.col("msg")
         ord_ = F.col("ord") if "ord" in messages.columns else F.col("epoch")
         aggregates += [F.min("epoch").alias("created"), F.max("epoch").alias("updated"), F.max(F.struct(ord_.alias("ord"), F.col("msg").alias("msg"), line.alias("line"))).alias("last")]
-    return rows.groupBy("tokens").agg(*aggregates)
+    return stored(rows.groupBy("tokens").agg(*aggregates), "sequences")
 
 
 def masks(distinct: DataFrame, config: Config, counts: DataFrame | None = None, border_: DataFrame | None = None) -> DataFrame:
@@ -38,7 +36,7 @@ def masks(distinct: DataFrame, config: Config, counts: DataFrame | None = None,
     counts: the terms' frequencies; border_: one row, border. Frequencies reach tokens by a broadcast
     of the most frequent terms, which are most tokens and all hot keys, and a join for the others.
     """
-    counts = term_counts(distinct) if counts is None else counts
+    counts = stored(term_counts(distinct) if counts is None else counts, "terms")
     if border_ is None:
         border_ = distinct.sparkSession.range(1).select(F.lit(config.term_count_border).cast("long").alias("border")) if config.term_count_border else border(counts, config.term_count_border_rate)
     total = (counts.agg(F.sum("df").alias("total"))).crossJoin(F.broadcast(border_))
@@ -97,7 +95,7 @@ def regrouped(found: DataFrame, config: Config) -> DataFrame:
     """Existing groups (display, count, created, updated) under another border or match rate: counts of those that meet are added."""
     rows = found.select(F.col("display").alias("msg"), "count", "created", "updated")
     rows = rows.withColumn("tokens", tokens(F.col("msg"), config))
-    distinct = rows.groupBy("tokens").agg(F.sum("count").cast("long").alias("lines"), F.min("created").alias("created"), F.max("updated").alias("updated"))
+    distinct = stored(rows.groupBy("tokens").agg(F.sum("count").cast("long").alias("lines"), F.min("created").alias("created"), F.max("updated").alias("updated")), "sequences")
     merged = distinct.join(masks(distinct.select("tokens", "lines"), config), "tokens")
     return merged.groupBy(F.array_join("masked", " ").alias("template")).agg(F.sum("lines").cast("long").alias("count"), F.min("created").alias("created"), F.max("updated").alias("updated"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Config
 from siltstone.functions import scalars
+from siltstone.functions.workspace import spread, stored
 from siltstone.operators import clusters, history, matching, parsing, patterns, tables, templates, terms
 from siltstone.operators import tokens as tok
 from siltstone.plans import sql
@@ -50,7 +51,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ln and msg of the lines of documents."""
-    lines = document_lines(templates.spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = document_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return parsing.parsed(lines, PLAIN).select("doc_id", "ln", "msg")
 
 
@@ -89,19 +90,19 @@ def term_df(spark, sf_dir):
 
 @query(sql.chain(sql.LINES, sql.token_table(), sql.DF, sql.BORDER, select="select border from border"))
 def term_border(spark, sf_dir):
-    return terms.border(term_df(spark, sf_dir), PLAIN.term_count_border_rate)
+    return terms.border(stored(term_df(spark, sf_dir), "terms"), PLAIN.term_count_border_rate)
 
 
 @query(sql.chain(sql.LINES, sql.token_table(), sql.DF, sql.BORDER, sql.masked(), select="select doc_id, ln, coalesce(line_border, (select border from border)) as line_border from tok left join edge on edge.id = tok.id"))
 def line_border(spark, sf_dir):
     rows = messages(spark, sf_dir).withColumn("tokens", tok.tokens(F.col("msg"), PLAIN))
-    found = templates.masks(rows.groupBy("tokens").agg(F.count("*").alias("lines")), PLAIN)
+    found = templates.masks(templates.sequences(rows.select("msg"), PLAIN), PLAIN)
     return rows.join(found, "tokens").select("doc_id", "ln", F.col("border_line").alias("line_border"))
 
 
 @query(sql.chain(sql.LINES, sql.token_table(), sql.DF, select="select term, round(ln((select sum(df) from df) / df) + 1, 6) as idf from df"))
 def term_idf(spark, sf_dir):
-    counts = term_df(spark, sf_dir)
+    counts = stored(term_df(spark, sf_dir), "terms")
     total = counts.agg(F.sum("df").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("term", F.round(terms.idf(F.col("df"), F.col("total")), 6).alias("idf"))
 
@@ -183,7 +184,7 @@ _EVENT_TOKENS = sql.token_table("{t}", f"(select event_id, {sql.NORMAL.format('s
 )
 def display_string(spark, sf_dir):
     rows = event_messages(spark, sf_dir).withColumn("tokens", tok.tokens(F.col("msg"), PLAIN))
-    found = templates.masks(rows.groupBy("tokens").agg(F.count("*").alias("lines")), PLAIN)
+    found = templates.masks(templates.sequences(rows.select("msg"), PLAIN), PLAIN)
     hidden = F.filter(F.zip_with("tokens", "masked", lambda t, m: F.when(m == tok.MASK, t)), lambda x: x.isNotNull())
     return rows.join(found, "tokens").select("event_id", tok.display(F.col("msg"), hidden, PLAIN.separators).alias("display"))
 
@@ -244,7 +245,7 @@ def history_hourly(spark, sf_dir):
 @query(sql.chain(*_EVENT_CHAIN, select=f"select template, {sql.EVENT_DAY} as clock, count(*) as value from found group by all"))
 def group_history(spark, sf_dir):
     rows = event_messages(spark, sf_dir).withColumn("tokens", tok.tokens(F.col("msg"), PLAIN))
-    found = templates.masks(rows.groupBy("tokens").agg(F.count("*").alias("lines")), PLAIN)
+    found = templates.masks(templates.sequences(rows.select("msg"), PLAIN), PLAIN)
     cells = history.counted(rows, 86400, "tokens").join(found, "tokens")
     return cells.groupBy(F.array_join("masked", " ").alias("template"), "clock").agg(F.sum("value").cast("long").alias("value"))
 

@@ -119,7 +119,7 @@ def test_top_orders_ties_by_score(spark):
 
 
 def test_regrouping_adds_counts(spark):
-    config = BASE.with_values({"term_count_border": 20})
+    config = BASE.with_values({"term_count_border": 20, "min_match_rate": 0.4})
     rows = templates.groups(parsing.parsed(lines(spark, hourly(FIRST)), BASE), BASE)
     merged = {r["template"]: r["count"] for r in templates.regrouped(rows, config).collect()}
     assert sum(merged.values()) == 50 and len(merged) < rows.count()
