@@ -32,7 +32,7 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """Bucket of each character n-gram, its row, and whether a row has a letter.
 
     Letters are lower-cased, every run of other characters is one space, and rows begin and end
-    with one. Code points beyond the first plane are letters. N-grams lie within a row.
+    with one. N-grams lie within a row and the space after it.
     """
     texts = [t or "" for t in texts]
     size = np.array([len(t) + 1 for t in texts])
@@ -40,8 +40,11 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     row = np.append(np.repeat(np.arange(len(texts)), size), len(texts))
     is_letter, lower = _letters()
     low = np.minimum(points, 0xFFFF)
-    letter = np.where(points > 0xFFFF, True, is_letter[low])
-    folded = np.where(letter, np.where(points > 0xFFFF, points, lower[low]), np.uint32(32))
+    letter, high = is_letter[low], points > 0xFFFF
+    if high.any():  # beyond the table
+        found, place = np.unique(points[high], return_inverse=True)
+        letter[high] = np.array([chr(c).isalpha() for c in found])[place]
+    folded = np.where(letter, np.where(high, points, lower[low]), np.uint32(32))
     has_letter = np.bincount(row[letter], minlength=len(texts)) > 0
     keep = np.ones(len(points), bool)
     keep[1:] = letter[1:] | letter[:-1] | (row[1:] != row[:-1])

@@ -91,11 +91,11 @@ def test_languages(documents, corpus, odd_rows):
 
 
 def test_ngrams_equal_a_loop():
-    texts = ["Ab, cÉ", "", None, "x", "...", "日本\U0001f600z"]
+    texts = ["Ab, cÉ", "", None, "x", "...", "日本\U0001f600z", "\U0001f600", "\U00020000"]
     got, row, letter = language.ngrams(texts)
-    folded = [" ab cé ", "  ", "  ", " x ", "  ", " 日本\U0001f600z "]  # a row's space, and the next row's
+    folded = [" ab cé ", "  ", "  ", " x ", "  ", " 日本 z ", "  ", " \U00020000 "]  # a row's space, and the next row's
     want = sum(f[k : k + n] != " " for f in folded for n in (1, 2, 3) for k in range(len(f) - n + 1))
-    assert len(got) == want and letter.tolist() == [True, False, False, True, False, True]
+    assert len(got) == want and letter.tolist() == [True, False, False, True, False, True, False, True]
     alone = [sorted(language.ngrams([t])[0].tolist()) for t in texts]
     assert alone == [sorted(got[row == k].tolist()) for k in range(len(texts))]
 
