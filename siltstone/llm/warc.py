@@ -55,9 +55,14 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
     return rows.select("page_id", F.concat(header, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write archives of the pages below path: a text file of records, each ended by END."""
-    records(pages, least_bytes).select("value").write.option("lineSep", END).text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", most_records: int = 50_000) -> None:
+    """Write archives of the pages below path: text files of records, each ended by END.
+
+    Files hold at most `most_records` records. A compressed one is read by one task; with compression
+    "none" files are read in splits.
+    """
+    rows = records(pages, least_bytes).select("value")
+    rows.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most_records).text(path)
 
 
 _LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d+)[ \t]*\r?$")

@@ -120,7 +120,7 @@ def test_archives_round_trip(spark):
 
 def test_files_of_many_parts_are_read_whole(spark, tmp_path):
     frame = spark.createDataFrame([p for p in pages() if p[0] is not None], "page_id long, url string, html string").repartition(2)
-    warc.write(frame, f"file://{tmp_path}/a")
+    warc.write(frame, f"file://{tmp_path}/a", compression="none")
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
@@ -132,7 +132,7 @@ def test_files_of_many_parts_are_read_whole(spark, tmp_path):
 
 
 def test_records_after_a_break_are_not_reached(spark, tmp_path):
-    warc.write(spark.createDataFrame([(k, "u", "p" * k) for k in range(1, 6)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a")
+    warc.write(spark.createDataFrame([(k, "u", "p" * k) for k in range(1, 6)], "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a", compression="none")
     file = next((tmp_path / "a").glob("part-*"))
     data = file.read_bytes()
     cut = data.index(b"page:3>")
