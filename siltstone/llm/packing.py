@@ -54,6 +54,43 @@ def least_squares(histogram: np.ndarray, patterns: list[tuple[int, ...]], steps:
     return x
 
 
+def greedy(left: np.ndarray):
+    """Yield (lengths, repeats) of exact fillings of the window by lengths that are left, longest first.
+
+    A filling begins with the longest length and takes the longest that fits until one or two more
+    fill it. It is repeated as often as its lengths allow, so there are few. Lengths that begin no
+    filling are left; left is changed.
+    """
+    window = len(left)
+    for n in range(window - 1, 0, -1):
+        while left[n]:
+            free, lengths, room = left.copy(), [n], window - n
+            free[n] -= 1
+            while room:
+                if free[room]:
+                    lengths.append(room)
+                    break
+                first = np.flatnonzero(free[:room])
+                use = np.minimum(free[first], free[room - first])
+                use[2 * first == room] //= 2
+                if len(use) and use.max() > 0:
+                    x = int(first[use.argmax()])
+                    lengths += [x, room - x]
+                    break
+                if not len(first):
+                    lengths = []
+                    break
+                lengths.append(int(first[-1]))
+                free[first[-1]] -= 1
+                room -= int(first[-1])
+            if not lengths:
+                break
+            used, times = np.unique(lengths, return_counts=True)
+            count = int((left[used] // times).min())
+            left[used] -= count * times
+            yield tuple(sorted(lengths)), count
+
+
 def plan(histogram: np.ndarray) -> tuple[np.ndarray, int]:
     """Where the pieces of each length go. histogram[n]: pieces of n ids, n from 1 to below the window.
 
@@ -81,6 +118,13 @@ def plan(histogram: np.ndarray) -> tuple[np.ndarray, int]:
                 offset += n
             sequences += count
     # what rounding leaves: whole pieces fill windows exactly where they can, then a chain
+    for lengths, count in greedy(left):
+        offset = 0
+        for n in reversed(lengths):
+            rows.append((n, taken[n], taken[n] + count, sequences, offset, -1))
+            taken[n] += count
+            offset += n
+        sequences += count
     position = 0
     for n in np.flatnonzero(left)[::-1]:
         rows.append((int(n), taken[n], taken[n] + left[n], sequences, 0, position))
@@ -176,8 +220,9 @@ def packed(documents: DataFrame, vocabulary: str, window: int = WINDOW) -> DataF
 
     Full windows of a document are sequences of their own. The rests are counted by length (a
     histogram of fewer rows than the window); least squares on the driver gives repeat counts of
-    length combinations that fill a sequence exactly; what rounding leaves follows, longest first, in
-    a chain that is cut at sequence ends, so only the chain's last sequence has padding.
+    length combinations that fill a sequence exactly. What rounding leaves fills sequences exactly too,
+    greedily, longest first; the last of it follows in a chain that is cut at sequence
+    ends, so only the chain's last sequence has padding.
 
     Null and empty texts are the end id alone. Repeated rows and null ids are documents of their
     own. Other columns are ignored; an empty table has no pieces. sequence_id is unique, not dense.
@@ -200,7 +245,7 @@ def packed(documents: DataFrame, vocabulary: str, window: int = WINDOW) -> DataF
     table = spark.createDataFrame([(int(r[0]), int(r[1]), int(r[5])) for r in streams], "rest long, first long, stream long")
     at = F.expr(f"(stream + (place - first) * rest) % {window}")
     torn = ranked.join(F.broadcast(table), "rest").where("place >= first").where(at + F.col("rest") > window).drop("first", "stream")
-    many = int((streams[:, 2] - streams[:, 1]).sum())
+    many = -(-int(((streams[:, 2] - streams[:, 1]) * streams[:, 0]).sum()) // window)  # the end of a sequence cuts one document at most
     torn = F.broadcast(torn) if many <= BROADCAST_ROWS else torn
     torn = docs.select("part", "row", "ids").join(torn, ["part", "row"])
     return whole.union(torn.mapInArrow(_placed(rows, window, sequences, True), PIECE))
