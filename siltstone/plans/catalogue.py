@@ -272,7 +272,7 @@ def history_cell(spark, sf_dir):
 
 
 def _user_series(spark, sf_dir):
-    cells = history.counted(timed_events(spark, sf_dir).where("user_id < 200"), 3600, "user_id")
+    cells = history.counted(timed_events(spark, sf_dir), 3600, "user_id")
     return history.dense(cells, 3600, "user_id")
 
 
