@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -42,6 +42,49 @@ def log_lines(spark: SparkSession, path: str, since: tuple[int, int] | None = No
     return rows.join(done.select("ord"), "ord", "left_anti").select(*rows.columns)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """log_lines() with nr, a line's number in its file from 0: its place in its block and the lines of the blocks before."""
+    blocks = lines.groupBy("source", F.col("ord.block").alias("block")).agg(F.count("*").alias("n"), F.min("ord.place").alias("least"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    shift = blocks.select("source", "block", (F.coalesce(before, F.lit(0)) - F.col("least")).alias("_shift"))
+    rows = lines.withColumn("block", F.col("ord.block")).join(F.broadcast(shift), ["source", "block"])  # a row for a block of a file
+    return rows.withColumn("nr", F.col("ord.place") + F.col("_shift")).select(*lines.columns, "nr")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(source, rows, first, digest) of each file of numbered lines.
+
+    first is a hash of the first line, digest of the others but the last, which may have been half written.
+    """
+    sizes = rows.groupBy("source").agg(F.count("*").alias("rows"), F.max(F.when(F.col("nr") == 0, F.xxhash64("line"))).alias("first"))
+    inner = rows.join(F.broadcast(sizes.select("source", "rows")), "source").where("nr > 0 and nr < rows - 1")  # a row for a file
+    digests = inner.groupBy("source").agg(F.bit_xor(F.xxhash64("line", "nr")).alias("digest"))
+    return sizes.join(digests, "source", "left").select("source", "rows", "first", F.coalesce("digest", F.lit(0)).alias("digest"))
+
+
+def read_before(rows: DataFrame, known: list[tuple[str, int, int, int]]) -> DataFrame:
+    """Numbered lines without those that files of contents() had: a file goes on from a known one that it begins with.
+
+    A known file that is still under its own name is not looked for under others.
+    """
+    if not known:
+        return rows.drop("nr")
+    spark = rows.sparkSession
+    old = spark.createDataFrame(known, "old string, had long, first long, digest long")
+    sizes = rows.groupBy("source").agg(F.count("*").alias("rows"), F.max(F.when(F.col("nr") == 0, F.xxhash64("line"))).alias("first"))
+    tried = sizes.join(F.broadcast(old), "first").where("rows >= had").select("source", "old", "had", "digest")
+    inner = rows.join(F.broadcast(tried.select("source", "old", "had")), "source").where("nr > 0 and nr < had - 1")  # few known files have the same first line
+    digests = inner.groupBy("source", "old").agg(F.bit_xor(F.xxhash64("line", "nr")).alias("found"))
+    same = tried.join(digests, ["source", "old"], "left").where(F.coalesce("found", F.lit(0)) == F.col("digest")).collect()
+    own = {r["source"]: r["had"] for r in same if r["source"] == r["old"]}
+    skipped = dict(own)
+    for r in same:
+        if r["source"] not in own and r["old"] not in own:
+            skipped[r["source"]] = max(skipped.get(r["source"], 0), r["had"])
+    done = spark.createDataFrame(list(skipped.items()), "source string, had long")
+    return rows.join(F.broadcast(done), "source", "left").where(F.col("nr") >= F.coalesce("had", F.lit(0))).drop("had", "nr")
+
+
 def standard_input(spark: SparkSession, stream=None) -> DataFrame:
     """The lines of standard input, which the driver holds."""
     lines = [(k, line.rstrip("\n")) for k, line in enumerate(stream or sys.stdin)]

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
-from siltstone.functions.scalars import time_bucket
 from siltstone.operators.parsing import parsed
-from siltstone.operators.templates import groups
+from siltstone.operators.templates import groups, masked_sequences
 from siltstone.operators.terms import term_counts
 from siltstone.operators.tokens import tokens
-from siltstone.sources.readers import log_lines
+from siltstone.sources.readers import contents, log_lines, numbered, read_before
 from siltstone.sources.store import Store, block_of
 
 GROUPS = "block long, masked array<string>, group_id long, display string, count long, created long, updated long, last_message string"
 TERMS = "block long, feed long, term string, df long"
+STATUS = "feed long, source string, rows long, first long, digest long"
 
 
 def store_of(spark: SparkSession, config: Config) -> Store:
-    return Store(spark, config.data_dir, {"terms": TERMS, "groups": GROUPS.replace("block long", "block long, feed long")})
+    return Store(spark, config.data_dir, {"terms": TERMS, "groups": GROUPS.replace("block long", "block long, feed long"), "status": STATUS})
 
 
 def feed(lines: DataFrame, config: Config, number: int) -> None:
@@ -29,7 +29,8 @@ def feed(lines: DataFrame, config: Config, number: int) -> None:
 
     The batch's document frequencies are added to the store's, and its lines are masked by the sum: groups
     of earlier feeds keep the mask that they had. Rows are written with the feed's number, so a batch
-    that is given again replaces itself.
+    that is given again replaces itself. A group has a row for each block of its lines; blocks past
+    keep_period and max_blocks are dropped then.
     """
     spark = lines.sparkSession
     store = store_of(spark, config)
@@ -37,11 +38,70 @@ def feed(lines: DataFrame, config: Config, number: int) -> None:
     fresh = term_counts(messages.groupBy("block", "tokens").agg(F.count("*").alias("lines")), "block").withColumn("feed", F.lit(number).cast("long"))
     earlier = store.read("terms").where(F.col("feed") != number)
     total = earlier.select("term", "df").union(fresh.select("term", "df")).groupBy("term").agg(F.sum("df").cast("long").alias("df"))
-    found = groups(messages.drop("tokens"), config, counts=total)
-    found = found.withColumns({"block": block_of(time_bucket(F.col("updated"), config.unit_secs), config.unit_secs), "feed": F.lit(number).cast("long")})
-    for table, rows in (("groups", found.drop("score")), ("terms", fresh)):
-        rows = rows.select(*[f.split()[0] for f in store.schemas[table].split(", ")])
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed").parquet(f"{store.path}/{table}")
+    found = groups(messages.drop("tokens"), config, counts=total).select("masked", "group_id", "display", "last_message")
+    masks = masked_sequences(messages.drop("tokens"), config, counts=total).select("tokens", "masked")
+    cells = messages.groupBy("block", "tokens").agg(F.count("*").alias("lines"), F.min("epoch").alias("created"), F.max("epoch").alias("updated")).join(masks, "tokens")
+    cells = cells.groupBy("block", "masked").agg(F.sum("lines").cast("long").alias("count"), F.min("created").alias("created"), F.max("updated").alias("updated"))
+    for table, rows in (("groups", cells.join(found, "masked").withColumn("feed", F.lit(number).cast("long"))), ("terms", fresh)):
+        _write(store, table, rows)
+    retain(spark, config)
+
+
+def _write(store: Store, table: str, rows: DataFrame) -> None:
+    """Put rows in place of those of their feeds."""
+    rows = rows.select(*[f.split()[0] for f in store.schemas[table].split(", ")])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed").parquet(f"{store.path}/{table}")
+
+
+def retain(spark: SparkSession, config: Config) -> None:
+    """Drop blocks that are keep_period units or more before the last, and all but the last max_blocks; 0 keeps all.
+
+    Block 0 holds the lines without a time: they have no age and stay.
+    """
+    store = store_of(spark, config)
+    blocks = store.read("terms").select("block").union(store.read("groups").select("block")).where("block > 0").distinct()
+    last = blocks.agg(F.max("block")).first()[0]
+    if last is None:
+        return
+    low = last - config.keep_period + 1 if config.keep_period else 1
+    if config.max_blocks:
+        low = max(low, blocks.orderBy(F.desc("block")).limit(config.max_blocks).agg(F.min("block")).first()[0])
+    old = (F.col("block") > 0) & (F.col("block") < low)
+    for table in ("groups", "terms"):
+        feeds_of = lambda rows: {r["feed"] for r in rows.select("feed").distinct().collect()}
+        rows = store.read(table)
+        touched = feeds_of(rows.where(old))
+        left = rows.where(F.col("feed").isin(list(touched)) & ~old)
+        empty = touched - feeds_of(left)
+        if touched - empty:
+            _write(store, table, left)
+        for number in empty:
+            store.drop(f"{table}/feed={number}")
+
+
+def resume(spark: SparkSession, config: Config) -> int:
+    """feed() of the lines of the settings' log files that no earlier call has read, under the next number, which it returns.
+
+    Files are known by their contents, so a log that has grown, was renamed or is gone is neither read
+    twice nor lost. The status is written last: a call that failed is made again under its number.
+    Standard input has no position.
+    """
+    store = store_of(spark, config)
+    status = store.read("status")
+    last = status.agg(F.max("feed")).first()[0]
+    number = 0 if last is None else last + 1
+    known = {r["source"]: (r["source"], r["rows"], r["first"], r["digest"]) for r in status.where(F.col("feed") == number - 1).collect()}
+    lines = log_lines(spark, config.log_path)
+    if config.log_path:
+        rows = numbered(lines)
+        fresh = read_before(rows, [k for k in known.values() if k[0]])
+        known |= {r["source"]: tuple(r) for r in contents(rows).collect()}
+        lines = fresh
+    known.setdefault("", ("", 0, 0, 0))  # a row for the number if there are no files
+    feed(lines, config, number)
+    found = spark.createDataFrame(list(known.values()), "source string, rows long, first long, digest long")
+    _write(store, "status", found.withColumn("feed", F.lit(number).cast("long")))
+    return number
 
 
 def stored_groups(spark: SparkSession, config: Config) -> DataFrame:
@@ -80,4 +140,4 @@ def saved_position(lines: DataFrame) -> str:
     return json.dumps({"last_file_epoch": last["file_epoch"] if last else 0, "last_file_row": last["rows"] if last else 0})
 
 
-__all__ = ["feed", "feed_path", "saved_position", "store_of", "stored_groups", "stored_terms", "stream", "streaming_counts"]
+__all__ = ["feed", "feed_path", "resume", "retain", "saved_position", "store_of", "stored_groups", "stored_terms", "stream", "streaming_counts"]
