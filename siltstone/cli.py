@@ -13,7 +13,7 @@ from siltstone.operators import history, patterns, templates
 from siltstone.operators.parsing import parsed
 from siltstone.operators.tokens import tokens
 from siltstone.sources.readers import log_lines
-from siltstone.sources.writers import group_report, pattern_report, write_groups, write_history, write_last_messages
+from siltstone.sources.writers import bounded, group_report, pattern_report, write_groups, write_history, write_last_messages, write_patterns
 from siltstone.streaming import feeds
 
 COMMANDS = ("feed", "groups", "history", "patterns", "test", "clean")
@@ -92,9 +92,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
             cells = cells.where(F.col("group_id") == args.group_id) if args.group_id else cells.join(F.broadcast(ranked.select("group_id")), "group_id", "left_semi") if args.n > 0 else cells
             if config.out_dir:
                 write_history(cells, f"{config.out_dir}/history.csv", config.unit_secs)
-            out = [f"{r['group_id']} {r['clock']} {r['value']}" for r in cells.orderBy("group_id", "clock").limit(10_000).collect()]
+            shown, more = bounded(cells.orderBy("group_id", "clock"), 10_000)
+            out = [f"{r['group_id']} {r['clock']} {r['value']}" for r in shown] + more
         else:
-            out = pattern_report(patterns.ranked(session_patterns(messages, config), args.n))
+            every = patterns.ranked(session_patterns(messages, config), args.n)
+            if config.out_dir:
+                write_patterns(every, templates.groups(messages, config), f"{config.out_dir}/patterns.csv")
+            out = pattern_report(every)
     print("\n".join(out))
     return out
 

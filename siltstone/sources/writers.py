@@ -38,9 +38,18 @@ def group_report(found: DataFrame) -> list[str]:
     return [f"{r['count']:>10} {r['score']:8.2f} {r['display']}" for r in found.collect()]
 
 
+def bounded(rows: DataFrame, most: int) -> tuple[list, list[str]]:
+    """The first rows, and a line that says so if there are more."""
+    found = rows.limit(most + 1).collect()
+    return found[:most], [f"... only the first {most} rows are shown; -o DIR writes all"] if len(found) > most else []
+
+
 def pattern_report(patterns: DataFrame, displays: DataFrame | None = None, most: int = 100) -> list[str]:
-    """Lines of the most frequent patterns (after ranked()): the sequence, its total, its keys, and the groups' texts."""
-    rows, out, last = patterns.limit(most).collect(), [], None
+    """Lines for the screen of the most frequent patterns (after ranked()): the sequence, its total, its keys, and the groups' texts.
+
+    The first `most` rows only, which the last line says then; write_patterns() writes all.
+    """
+    (rows, more), out, last = bounded(patterns, most), [], None
     texts = {}
     if displays is not None:
         wanted = sorted({int(g) for r in rows for g in r["pattern"].split()})
@@ -52,7 +61,16 @@ def pattern_report(patterns: DataFrame, displays: DataFrame | None = None, most:
         last = r["pattern"]
         if texts and (k + 1 == len(rows) or rows[k + 1]["pattern"] != last):
             out += ["---", *(texts.get(int(g), "") for g in last.split())]
-    return out
+    return out + more
+
+
+def write_patterns(patterns: DataFrame, displays: DataFrame, path: str) -> None:
+    """All patterns of ranked() with all keys, as CSV: total, pattern, key, start_epoch, cnt; and the groups' texts beside them."""
+    rows = patterns.select("total", "pattern", "key", "start_epoch", "cnt").orderBy(F.desc("total"), "pattern", F.desc("cnt"), "key")
+    rows.write.mode("overwrite").option("header", True).csv(path)
+    used = patterns.select(F.explode(F.split("pattern", " ").cast("array<long>")).alias("group_id")).distinct()
+    texts = used.join(displays.select("group_id", "display"), "group_id", "left")
+    texts.write.mode("overwrite").option("header", True).csv(f"{path.removesuffix('.csv')}_groups.csv")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
