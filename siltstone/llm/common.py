@@ -8,6 +8,7 @@ whatever the lengths of the rows.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,18 +22,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are worked on at once; temporary arrays take some 50 times that.
+CHUNK_BYTES = 1 << 19
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Ids that are broadcast, at most (24 bytes each); more go by a shuffle.
+BROADCAST_IDS = 2_000_000
 SHINGLE = 5
 #: Bytes that end a word: space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; tests, which leave that unset, get a temporary one."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local master (one machine) gets a temporary folder; a cluster is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "siltstone-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
 
 
@@ -59,10 +69,25 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that long texts don't add up in a worker; and the package for workers."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Arrow batches of so many rows and bytes at most, so that long texts don't add up in a worker; and the package for workers.
+
+    The result is lazy and Spark reads these settings as it runs, so they stay in the session; smaller
+    ones that it has are left alone.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among ids (a stored table of that column), or is not (left_anti).
+
+    ids are broadcast only if they are counted and few.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -91,7 +116,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     if base not in _powers or len(_powers[base]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 17))
+        size = max(n, 2 * CHUNK_BYTES)
         out = np.full(size, base, dtype=U64)
         out[0] = 1
         _powers[base] = np.multiply.accumulate(out)
@@ -135,9 +160,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, at - at[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose texts hold about `most` bytes (one longer text is a part of its own)."""
-    _, at = text_bytes(batch.column(column))
+def slices(batch: pa.RecordBatch, *columns: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold `most` bytes at most (one longer text is a part of its own)."""
+    at = sum(text_bytes(batch.column(c))[1] for c in columns)
     start = 0
     while start < batch.num_rows:
         stop = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)

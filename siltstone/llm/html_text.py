@@ -179,7 +179,7 @@ def _extract(batches):
 
     held = None
     for whole in batches:
-        for batch in slices(whole, "html", 1 << 21):
+        for batch in slices(whole, "html"):
             done = []
             for host, page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True):
                 now = (host, lines(page), page_id, url)

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import count as counted
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import U64, Words, int_list, mix64, shared_folder, shingles, slices, small_batches, stored
+from siltstone.llm.common import U64, Words, among, int_list, mix64, shared_folder, shingles, slices, small_batches, stored
 
 BANDS = 32
 ROWS = 4
 #: Numerator and denominator of the least Jaccard similarity of a link.
 SIMILAR = (75, 100)
+#: Coordinates that must agree in their low byte before texts are fetched: 5.3 standard deviations below
+#: what a link at the least similarity has, so one in 10 million is missed.
+AGREEING = 70
 
 _SHIFT = np.uint32(0x9E3779B1)
 
@@ -58,38 +63,63 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+def _sets(flat: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _describe(batches):
     for whole in batches:
         for batch in slices(whole, "text"):
-            flat, at = shingles(Words(batch.column("text")))
-            sets = [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sets = _sets(*shingles(Words(batch.column("text"))))
             size = np.array([len(s) for s in sets], np.int64)
             keys = np.zeros((2, len(sets)), U64)
             for i, s in enumerate(sets):
                 if len(s):
                     keys[0, i], keys[1, i] = mix64(s).sum(dtype=U64), mix64(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)
             some = size > 0
-            bands = np.zeros((len(sets), BANDS), np.int64)
+            bands, sketch = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), BANDS * ROWS), np.uint8)
             if some.any():
                 full = np.concatenate([s for s in sets if len(s)])
-                bands[some] = band_keys(signatures(full, np.concatenate(([0], np.cumsum(size[some]))), BANDS * ROWS))
+                signature = signatures(full, np.concatenate(([0], np.cumsum(size[some]))), BANDS * ROWS)
+                bands[some], sketch[some] = band_keys(signature), signature.astype(np.uint8)
+            at = pa.py_buffer(np.arange(0, sketch.size + 1, BANDS * ROWS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), int_list(bands.ravel(), BANDS)],
-                names=["doc_id", "n_shingles", "key_a", "key_b", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), int_list(bands.ravel(), BANDS), pa.Array.from_buffers(pa.binary(), len(sets), [None, at, pa.py_buffer(sketch)])],
+                names=["doc_id", "n_shingles", "key_a", "key_b", "bands", "sketch"],
             )
 
 
 def described(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, and the bucket keys, for every row."""
+    """doc_id, n_shingles, a 128-bit key of the set, the bucket keys and the coordinates' low bytes, for every row."""
     small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_describe, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
+    return rows.mapInArrow(_describe, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>, sketch binary")
+
+
+def _agreeing(batches):
+    for batch in batches:
+        own, lead = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sketch", "lead_sketch"))
+        yield batch.select(["id", "lead"]).filter(pa.array((own == lead).sum(1) >= AGREEING, pa.bool_()))
+
+
+def ids_of(pairs: DataFrame, folder: str) -> DataFrame:
+    """The distinct ids of (id, lead) pairs as a table of the column doc_id."""
+    return stored(pairs.select(F.explode(F.array("id", "lead")).alias("doc_id")).distinct(), folder)
+
+
+def promising(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Those stored (id, lead) pairs whose sizes and coordinates allow a link. classes: doc_id, n_shingles, sketch."""
+    own = among(classes.select("doc_id", "n_shingles", "sketch"), ids_of(pairs, f"{folder}-promising-ids"), "doc_id")
+    both = pairs.join(own.toDF("id", "n", "sketch"), "id").join(own.toDF("lead", "lead_n", "lead_sketch"), "lead")
+    least, most = SIMILAR
+    close = both.where(f"least(n, lead_n) * {most} >= greatest(n, lead_n) * {least}").select("id", "lead", "sketch", "lead_sketch")
+    return stored(close.mapInArrow(_agreeing, "id long, lead long").distinct(), f"{folder}-promising")
 
 
 def _verify(batches):
     known: tuple = (None, None)
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", "lead_text"):
             flat, at = shingles(Words(batch.column("text")))
             left, lead, lead_texts = batch.column("id").to_pylist(), batch.column("lead").to_pylist(), batch.column("lead_text")
             keep = []
@@ -103,51 +133,52 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(lead, pa.int64())], names=["id", "lead"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those (id, lead) pairs whose full shingle sets are similar enough. texts: doc_id, text."""
-    need = pairs.select(F.col("id").alias("doc_id")).union(pairs.select(F.col("lead").alias("doc_id"))).distinct()
-    own = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, "doc_id", "left_semi")
-    both = pairs.join(own.withColumnRenamed("doc_id", "id"), "id").join(own.select(F.col("doc_id").alias("lead"), F.col("text").alias("lead_text")), "lead")
-    return both.select("id", "lead", "text", "lead_text").mapInArrow(_verify, "id long, lead long").distinct()
+def verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Those stored (id, lead) pairs whose full shingle sets are similar enough. texts: doc_id, text.
+
+    A lead with very many pairs is a skewed key of a plain join, which adaptive execution splits.
+    """
+    own = among(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids_of(pairs, f"{folder}-verified-ids"), "doc_id")
+    both = pairs.join(own.toDF("id", "text"), "id").join(own.toDF("lead", "lead_text"), "lead")
+    return stored(both.select("id", "lead", "text", "lead_text").mapInArrow(_verify, "id long, lead long").distinct(), f"{folder}-verified")
 
 
 def _rows_of_shingles(batches):
     for whole in batches:
-        for batch in slices(whole, "text", 1 << 19):
-            flat, at = shingles(Words(batch.column("text")))
-            sets = [np.unique(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        for batch in slices(whole, "text"):
+            sets = _sets(*shingles(Words(batch.column("text"))))
             size = np.array([len(s) for s in sets], np.int64)
             keys = np.array([mix64(s).sum(dtype=U64) if len(s) else 0 for s in sets], U64).view(np.int64)
             row = pa.array(np.repeat(np.arange(len(sets)), size))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("component").take(row), pa.array(np.repeat(size, size)), pa.array(np.repeat(keys, size)), pa.array(np.concatenate(sets).view(np.int64))],
-                names=["id", "component", "n", "own", "shingle"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), pa.array(np.repeat(size, size)), pa.array(np.repeat(keys, size)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "own", "shingle"])
 
 
 def across(apart: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """(id, lead) pairs of different components that may be links: every link is among them.
-
-    A link shares at least 75 % of either set, so it shares one of each side's rarest quarter of
-    shingles, in any one order of all shingles: here, by how many of these documents have it. The first
-    that it shares leaves at most the shingles from there on to be shared; if those are too few, the
-    pair is no link. Edits make shingles that no other copy has and that come first, so even in a
-    large family of copies few pairs are left.
+    """(id, lead) pairs of different components that may be links: every link is among them. apart: id, component.
+
+    A link shares at least 75 % of either set. So a document that shares less with all others together
+    has none; and of each two linked sets, the larger one's rarest quarter of shingles meets the
+    smaller one's rarest seventh, in any one order of all shingles: here, by how many of these
+    documents have it. The first shingle that they share leaves at most the shingles from there on; if those
+    are too few, the pair is no link. Edits make shingles that no other copy has and that come first,
+    so even in a large family of copies few pairs are left.
     """
     least, most = SIMILAR
-    texts = texts.select(F.col("doc_id").cast("long").alias("id"), "text").join(apart, "id")
-    rows = texts.select("id", "component", "text").mapInArrow(_rows_of_shingles, "id long, component long, n long, own long, shingle long")
-    rows = rows.repartition("shingle")
-    count = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id", "own").orderBy("df", "shingle")
-    rare = rows.join(count, "shingle").withColumn("place", F.dense_rank().over(order)).where(f"place <= n - ceil(n * {least} / {most}) + 1 and df > 1")
-    rare = stored(rare.select("shingle", "id", "n", "component", (F.col("n") - F.col("place") + 1).alias("left")).distinct(), f"{folder}-rare")
-    others = rare.select("shingle", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"), F.col("left").alias("lead_left"))
-    close = f"least(left, lead_left) * {least + most} >= (n + lead_n) * {least}"
-    return rare.join(others, "shingle").where("component < lead_component").where(close).select("id", "lead").distinct()
-
-
-def components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame:
+    own = among(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), apart.select(F.col("id").alias("doc_id")), "doc_id")
+    rows = own.mapInArrow(_rows_of_shingles, "id long, n long, own long, shingle long")
+    count = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    one = Window.partitionBy("id", "own")
+    order = one.orderBy("df", "shingle")
+    rare = rows.join(count, "shingle").distinct().withColumn("common", F.count("*").over(one)).where(f"common * {most} >= n * {least}")
+    rare = rare.withColumn("place", F.col("n") - F.col("common") + F.row_number().over(order)).where(f"place <= n - ceil(n * {least} / {most}) + 1")
+    rare = stored(rare.select("shingle", "id", "n", "place").join(apart, "id"), f"{folder}-rare")
+    short = rare.where(f"place <= n - ceil(n * {2 * least} / {least + most}) + 1")
+    short = short.select("shingle", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"), (F.col("n") - F.col("place") + 1).alias("left"))
+    close = f"least(n - place + 1, left) * {least + most} >= (n + lead_n) * {least}"
+    return rare.join(short, "shingle").where("component <> lead_component and n >= lead_n").where(close).select("id", "lead").distinct()
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
     """(id, component): each node that has an edge, with the smallest node reachable from it.
 
     Alternating large and small stars. Each round's edges are written to the shared folder; a hot
@@ -155,7 +186,7 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
     """
     now = edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, seen = stored(now, f"{folder}/edges"), None
-    for k in range(most_rounds):
+    for k in counted():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -166,8 +197,6 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 60) -> DataFram
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("connected components did not converge")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
@@ -176,11 +205,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     1. Rows with equal shingle sets are one class; the smallest doc_id stands for it.
     2. Representatives meet in the buckets of 32 bands of 4 coordinates (a pair at similarity 0.75
-       is missed with probability 5e-6). In each bucket all are checked against the member that
-       meets most others, so a group of copies costs as many checks as it has members.
-    3. Documents of buckets that still hold several components are searched for links between
-       components by their rarest shingles (see across), which is exact. Mates in one component
-       need no check, as a link between them can't change the result.
+       is missed with probability 5e-6). In each bucket all are checked against two members, those that
+       meet most others and fewest, so a group of copies costs twice as many checks as it has members.
+       Pairs whose coordinates agree far too little are no links; of the others full sets are compared.
+    3. Documents of buckets of four members or more that still hold several components are searched for
+       links between components by their rarest shingles (see across), which is exact. Mates in one
+       component need no check, as a link between them can't change the result.
 
     Null or blank texts have no shingles and no links. Rows that repeat a doc_id are one node of
     the graph, each returned. A null doc_id is linked with nothing, has a null component, and is kept.
@@ -188,31 +218,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     folder = shared_folder(spark, "near-dups")
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = stored(described(documents), f"{folder}/described")
     linked = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(linked.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("key_a", "key_b", "r.*"), f"{folder}/classes")
+    classes = stored(linked.groupBy("key_a", "key_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r")).select("key_a", "key_b", "r.*"), f"{folder}/classes")
 
-    places = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    places = classes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    places = places.join(shared, "bucket")
+    places = stored(places.join(shared, "bucket"), f"{folder}/shared")
     degree = places.groupBy("id").agg(F.sum("members").alias("degree"))
-    places = stored(places.join(degree, "id").select("bucket", "id", "n", "degree"), f"{folder}/places")
-    least, most = SIMILAR
-    close = f"least(n, lead_n) * {most} >= greatest(n, lead_n) * {least}"
-    lead = places.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), F.col("n").alias("lead_n"))).alias("l"))
-    stars = places.join(lead.select("bucket", (-F.col("l.minus")).alias("lead"), "l.lead_n"), "bucket").where("id <> lead").where(close)
-    stars = stored(stars.select("id", "lead").distinct(), f"{folder}/stars")
-    first = stored(verified(stars, documents.select("doc_id", "text")), f"{folder}/first")
+    places = stored(places.join(degree, "id").select("bucket", "id", "members", "degree"), f"{folder}/places")
+    rank = F.struct("degree", (-F.col("id")).alias("minus"))
+    lead = places.groupBy("bucket").agg(F.max(rank).alias("most"), F.min(rank).alias("fewest"))
+    lead = lead.select("bucket", F.explode(F.array(-F.col("most.minus"), -F.col("fewest.minus"))).alias("lead"))
+    stars = places.join(lead, "bucket").where("id <> lead").select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
+    stars = promising(stored(stars.distinct(), f"{folder}/stars"), classes, f"{folder}/stars")
+    first = verified(stars, texts, f"{folder}/stars")
     found = components(first, f"{folder}/first-components")
 
-    placed = places.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = places.where("members > 3").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    apart = stored(placed.join(mixed, "bucket").select("id", "component").distinct(), f"{folder}/apart")
-    rest = across(apart, documents.select("doc_id", "text"), f"{folder}/across")
-    tried = stars.select("id", "lead").union(stars.select(F.col("lead").alias("id"), F.col("id").alias("lead")))
-    rest = stored(rest.join(tried, ["id", "lead"], "left_anti"), f"{folder}/rest")
-    second = stored(verified(rest, documents.select("doc_id", "text")), f"{folder}/second")
-    found = components(first.union(second), f"{folder}/components") if second.take(1) else found
+    apart = stored(placed.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), f"{folder}/apart")
+    rest = across(apart, texts, f"{folder}/across").select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
+    rest = stored(rest.distinct().join(stars, ["id", "lead"], "left_anti"), f"{folder}/rest")
+    if rest.take(1):
+        second = verified(promising(rest, classes, f"{folder}/rest"), texts, f"{folder}/rest")
+        found = components(first.union(second), f"{folder}/components") if second.take(1) else found
 
     named = classes.select("key_a", "key_b", F.col("doc_id").alias("id")).join(found, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("own"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key_a")).alias("key_a"), F.when(F.col("n_shingles") > 0, F.col("key_b")).alias("key_b")).join(named, ["key_a", "key_b"], "left")

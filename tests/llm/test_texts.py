@@ -21,7 +21,7 @@ def test_words_and_buffers(odd_rows):
     assert len(shingle_set("a b c")) == 1 and len(shingle_set("a b c d e f a b c d e")) == 6 and len(shingle_set(None)) == 0  # abcde is there twice
     assert list(shingle_set("A b C d E")) == list(shingle_set("a B c D e")) and list(shingle_set("a b")) != list(shingle_set("b a"))
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-    assert sum(b.num_rows for b in slices(batch, "text", 100)) == len(texts) and len(text_bytes(pa.array([], pa.string()))[1]) == 1
+    assert sum(b.num_rows for b in slices(batch, "text", most=100)) == len(texts) and len(text_bytes(pa.array([], pa.string()))[1]) == 1
 
 
 def rules(text):
