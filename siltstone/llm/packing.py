@@ -11,16 +11,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shared_folder, small_batches, stored
+from siltstone.llm.common import BROADCAST_IDS, shared_folder, slices, small_batches, stored
 from siltstone.llm.tokens import Encoder
 
 WINDOW = 2048
 END_ID = 1
-#: Lengths that combinations of three, and of four, are drawn from: the most frequent.
+#: Lengths that combinations of three, and of four, are drawn from: the most frequent. This bounds the
+#: patterns, not the pieces: what patterns leave is packed greedily.
 FREQUENT = {3: 160, 4: 32}
 STEPS = 300
-#: Rows whose ids are joined by a broadcast; more go by a shuffle.
-BROADCAST_ROWS = 20_000
 
 
 def combinations(histogram: np.ndarray) -> list[tuple[int, ...]]:
@@ -139,7 +138,7 @@ def _tokenised(path: str, window: int):
         end = np.array([END_ID], "<u4").tobytes()
         seen: dict[int, int] = {}
         row = windows = 0
-        for batch in batches:
+        for batch in (part_ for whole in batches for part_ in slices(whole, "text")):
             out = []
             texts = (t.as_py() for t in batch.column("text"))
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
@@ -149,22 +148,23 @@ def _tokenised(path: str, window: int):
                 rank = seen.get(rest, 0)
                 seen[rest] = rank + 1
                 crcs = [zlib.crc32(ids[k : k + step]) for k in range(0, len(ids), step)]
-                out.append((doc_id, part, row, n, rest, rank, windows, crcs, ids))
+                cut = 4 * (n - rest)
+                out.append((doc_id, part, row, n, rest, rank, windows, crcs, ids[:cut], ids[cut:]))
                 row += 1
                 windows += n // window
-            columns = list(zip(*out, strict=True)) if out else [()] * 9
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "ids"])
+            columns = list(zip(*out, strict=True)) if out else [()] * 10
+            kinds = [pa.int64()] * 7 + [pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "part", "row", "n", "rest", "rank", "windows", "crcs", "full", "tail"])
 
     return run
 
 
-TOKENISED = "doc_id long, part long, row long, n long, rest long, rank long, windows long, crcs array<long>, ids binary"
+TOKENISED = "doc_id long, part long, row long, n long, rest long, rank long, windows long, crcs array<long>, full binary, tail binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def _placed(rows: np.ndarray, window: int, sequences: int, cut: bool):
-    """Pieces of documents: full windows, and the rest by the plan. cut: documents whose rest is cut, with ids."""
+    """Pieces of documents: full windows, and the rest by the plan. cut: documents whose rest is cut, with its ids."""
     keys = (rows[:, 0] << 44) + rows[:, 1] if len(rows) else np.zeros(0, np.int64)
 
     def run(batches):
@@ -193,7 +193,7 @@ def _placed(rows: np.ndarray, window: int, sequences: int, cut: bool):
                     if not cut:
                         out.append((doc[i], n - rest, rest, crcs[i][-1], n, sequence + at // window, at % window))
                 elif cut:
-                    ids = batch.column("ids")[i].as_py()[4 * (n - rest) :]
+                    ids = batch.column("tail")[i].as_py()
                     out.append((doc[i], n - rest, room, zlib.crc32(ids[: 4 * room]), n, sequence + at // window, at % window))
                     out.append((doc[i], n - rest + room, rest - room, zlib.crc32(ids[4 * room :]), n, sequence + at // window + 1, 0))
             columns = list(zip(*out, strict=True)) if out else [()] * 7
@@ -203,7 +203,7 @@ def _placed(rows: np.ndarray, window: int, sequences: int, cut: bool):
 
 
 def tokenised(documents: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
-    """One row per document with its ids (an end id follows), written in the shared folder."""
+    """One row per document with its ids (an end id follows): those of full windows, and the rest."""
     spark = documents.sparkSession
     small_batches(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -236,7 +236,7 @@ def packed(documents: DataFrame, vocabulary: str, window: int = WINDOW) -> DataF
     rows, sequences = plan(histogram)
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "rest", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = docs.drop("ids").join(bases, ["part", "rest"]).withColumn("place", F.col("rank") + F.col("base"))
+    ranked = docs.drop("full", "tail").join(bases, ["part", "rest"]).withColumn("place", F.col("rank") + F.col("base"))
     whole = ranked.mapInArrow(_placed(rows, window, sequences, False), PIECE)
 
     streams = rows[rows[:, 5] >= 0]
@@ -246,6 +246,6 @@ def packed(documents: DataFrame, vocabulary: str, window: int = WINDOW) -> DataF
     at = F.expr(f"(stream + (place - first) * rest) % {window}")
     torn = ranked.join(F.broadcast(table), "rest").where("place >= first").where(at + F.col("rest") > window).drop("first", "stream")
     many = -(-int(((streams[:, 2] - streams[:, 1]) * streams[:, 0]).sum()) // window)  # the end of a sequence cuts one document at most
-    torn = F.broadcast(torn) if many <= BROADCAST_ROWS else torn
-    torn = docs.select("part", "row", "ids").join(torn, ["part", "row"])
+    torn = F.broadcast(torn) if many <= BROADCAST_IDS else torn
+    torn = docs.select("part", "row", "tail").join(torn, ["part", "row"])
     return whole.union(torn.mapInArrow(_placed(rows, window, sequences, True), PIECE))

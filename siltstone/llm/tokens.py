@@ -7,17 +7,20 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
-#: Parts that a worker keeps before it starts afresh.
-KEPT_PARTS = 1_000_000
+#: Parts that were met again (kept at hand), parts that were met once (two generations of them), and
+#: characters of a part that is kept at all: 260,000 parts or some 50 MB.
+KEPT_PARTS, NEW_PARTS, KEPT_LETTERS = 1 << 17, 1 << 16, 32
 
 
 class Encoder(dict):
     """Ids of texts as little-endian uint32 bytes.
 
     The vocabulary's tokenizer lower-cases, drops white space and never joins across it, so a text's
-    ids are those of its parts between spaces and newlines in order. Each distinct part is encoded
-    once (and again after the cache, which has a fixed size, was emptied). A part with capitals has
-    the ids of its lower-case form; a full stop or comma after a letter is an id of its own.
+    ids are those of its parts between spaces and newlines in order. The dict holds parts that were
+    met twice; parts that are new wait in two generations, so rare ones don't drive out frequent
+    ones, and memory is bounded whatever the texts. A part with capitals has
+    the ids of its lower-case form if both are in the composed form that the tokenizer makes before
+    it lower-cases; a full stop or comma after a letter is then an id of its own.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -26,6 +29,8 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -45,7 +50,10 @@ class Encoder(dict):
         """The part whose ids stand for this one, up to a final full stop or comma."""
         if "Σ" in part or "İ" in part or "|" in part:
             return part
-        part = part.lower()
+        low = part.lower()
+        if not part.isascii() and not (unicodedata.is_normalized("NFC", part) and unicodedata.is_normalized("NFC", low)):
+            return part
+        part = low
         if part[-1] in ".," and part[-2:-1].isalpha():
             part = part[:-1]
         return part
@@ -57,18 +65,26 @@ class Encoder(dict):
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, part: str) -> bytes:
+        ids = self.new.get(part) or self.old.get(part)
+        if ids is not None:
+            if len(self) >= KEPT_PARTS:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            self[part] = ids
+            return ids
         base = self._base(part)
         if base == part:
             ids = self._ids(part)
         else:
             ids = self[base] + (self[part[-1]] if part[-1] in ".," and not base.endswith(part[-1]) else b"")
-        self[part] = ids
+        if len(part) <= KEPT_LETTERS:
+            if len(self.new) >= NEW_PARTS:
+                self.old, self.new = self.new, {}
+            self.new[part] = ids
         return ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text; null is empty."""
         for text in texts:
-            if len(self) > KEPT_PARTS:
-                self.clear()
-                self[""] = b""
             yield b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""

@@ -2,12 +2,13 @@
 
 import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 
-from siltstone.llm import packing
+from siltstone.llm import packing, tokens
 from siltstone.llm.queries import vocabulary
 from siltstone.llm.tokens import Encoder
 
@@ -23,11 +24,30 @@ def test_cached_ids_equal_the_tokenizer(tokenizer):
     encoder = Encoder(vocabulary())
     r = random.Random(3)
     parts = [*"abC É́ \t\n\r\x0b\x1c'12ß!?.,Σσ​﻿İ中 ̀", "<|endoftext|>", "'ll", "'re", "　", "\x85", "a.", "B,", "É.", "The.", "ſ", "ﬁ", "I'm"]
+    composing = [chr(c) for c in range(0x80, 0x1E00) if unicodedata.normalize("NFC", chr(c).lower()) != chr(c).lower() or unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    parts += ["T̈", "W̊", "Ϊ́", "J̌", "H̱", "Aʾ", "क़.", "य़,", "གྷ.", "שּׁ,", "नी.", *composing]
+    for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZΑΕΗΙΟΥΩΪΫАЕИОУЫЭ":  # capitals with marks that compose in lower case only
+        for mark in range(0x300, 0x346):
+            text = a + chr(mark) + r.choice(("", ".", ",", "b", "\u0301"))
+            assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    for _ in range(3000):
+        text = "".join(chr(r.choice((r.randrange(32, 0xD800), r.randrange(0xE000, 0x20000), r.randrange(32, 0x250)))) for _ in range(r.randint(1, 6))) + r.choice(("", ".", ","))
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
     for _ in range(5000):
         text = "".join(r.choices(parts, k=r.randint(0, 14)))
         assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_the_cache_is_bounded_and_changes_nothing(tokenizer, prose, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 20)
+    monkeypatch.setattr(tokens, "NEW_PARTS", 10)
+    encoder = Encoder(vocabulary())
+    for k in range(30):
+        text = prose(k, 80) + "  " + "x" * k + " " + prose(0, 40)
+        assert np.frombuffer(next(encoder.encode([text, ""])), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder) <= 22 and len(encoder.new) <= 11 and len(encoder.old) <= 22
+
+
 def checked(found, rows, tokenizer, window):
     """All ids in one piece each, sequences gapless; returns (sequences, padding, cut rests)."""
     pieces, sequences, left = collections.defaultdict(list), collections.defaultdict(list), collections.Counter()
