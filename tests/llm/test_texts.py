@@ -66,9 +66,28 @@ def lcs(a, b):
     return table[-1][-1]
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+def test_marks_never_drop_what_holds_the_article():
+    kept = lambda page: [x[0] for x in html_text.lines(page) if not x[1]]
+    assert kept('<main class="search-results"><p>a</p></main>') == ["a"]
+    assert kept('<div class="banner-image"><nav>n</nav><article><p>b</p><div class="ad">x</div></article></div><p class="ad">y</p>') == ["b"]
+    assert kept('<article class="post has-comments"><p>c</p></article>') == ["c"]
+    assert kept('<div class="related"><article>other</article></div><article>own</article><div class="related"><article>third</article></div>') == ["own"]
+    assert kept('<aside><article>no</article></aside><div id="login"><main>yes</main></div>') == ["yes"]
+    assert kept('<article><p>x</p><section id="comments"><article>Nice!</article></section><article class="comment">No</article><p>y</p></article>') == ["x", "y"]
+
+
+def test_unclosed_elements():
+    kept = lambda page: [x[0] for x in html_text.lines(page) if not x[1]]
+    assert kept("<head><title>t</title><script>'<p>'</script><meta charset=x><body><p>in</p>") == ["in"]
+    assert kept('<p class="notice">x<p>one<p>two</p><div><p class="ad">y</div>three') == ["one", "two", "three"]
+    assert kept('<ul><li class="ad">x<ul><li>inner</ul><li>one<li>two</ul>three<ul><li class="ad">y</ul>four') == ["one", "two", "three", "four"]
+    assert kept("&am<b>p;</b> &amp;&lt;") == ["&amp; &<"]
+
+
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch):
     r = random.Random(2)
-    for _ in range(300):
+    for turn in range(300):
+        monkeypatch.setattr(html_text, "MOST_BITS", 1 << 31 if turn % 2 else 4)
         a, b = [r.choice("abcd") for _ in range(r.randint(0, 14))], [r.choice("abcde") for _ in range(r.randint(0, 14))]
         places = html_text._common(a, b)
         rest = iter(b)
@@ -89,6 +108,63 @@ def test_pages_are_compared_with_their_neighbours(spark):
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def by_a_loop(pages):
+    """Each page's text: sorted by host and path, with the neighbours' lines; the rule of each kind of line by hand."""
+    key = lambda p: re.match(r"(?:[a-z]+://)?([^/?#]*)(.*)", p[1]).groups() + (p[0], p[2])
+    ordered = sorted(set(pages), key=key)
+    out = {}
+    for k, p in enumerate(ordered):
+        host, path, *_ = key(p)
+        own, told = html_text.lines(p[2]), []
+        for near in (k - 1, k + 1):
+            if 0 <= near < len(ordered) and key(ordered[near])[0] == host:
+                other = html_text.lines(ordered[near][2])
+                shared = html_text.shared_lines([x[0] for x in own], [x[0] for x in other])
+                begins = next((i for i, (a, b) in enumerate(zip(path, key(ordered[near])[1], strict=False)) if a != b), min(len(path), len(key(ordered[near])[1])))
+                if any(not x[1] and i not in shared for i, x in enumerate(own)):
+                    told.append((-begins, near, shared))
+        told = [s for _, _, s in sorted(told, key=lambda x: x[:2])]
+        inside = [i for i, x in enumerate(own) if x[2] and not x[1]]
+        gone = {i for i in inside if told and all(i in s for s in told)}
+        if 2 * sum(len(own[i][0]) for i in gone) > sum(len(own[i][0]) for i in inside):
+            gone = set()
+        gone |= {i for i, x in enumerate(own) if told and not x[1] and not x[2] and i in told[0]}
+        out[p] = "\n".join(x[0] for i, x in enumerate(own) if not x[1] and i not in gone)
+    return out
+
+
+def test_differencing_equals_a_loop_and_does_not_depend_on_ranges(spark):
+    r = random.Random(8)
+    lines = lambda n: "".join(f"<p>{r.choice(('Weekly offer', 'News desk', 'Call us'))}</p>" if r.random() < 0.4 else f"<p>line {r.randrange(200)}</p>" for _ in range(n))
+    rows = []
+    for k in range(90):
+        body = lines(r.randint(1, 6))
+        body = r.choice((body, f"<article>{body}</article>", f"{lines(2)}<main>{body}{lines(3)}</main>"))
+        rows.append((k, f"https://h{k % 7 % 3}.example/{r.choice(('a', 'b', 'news'))}/{r.randrange(30)}", f"<nav>Menu</nav>{body}<p>Weekly offer</p>"))
+    rows += rows[:5] + [(500, rows[7][1], rows[7][2])]
+    want = by_a_loop(rows)
+    assert any("Weekly offer" in h and "Weekly offer" not in t for (_, _, h), t in want.items() if "<article>" in h)
+    for parts in (1, 40):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = html_text.extracted(frame).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert len(got) == len(rows)
+        texts = {(p[0], p[1]): t for p, t in want.items()}
+        assert all(r.text == texts[r.page_id, r.url] and r.n_chars == len(r.text) for r in got)
+
+
+def test_the_nearer_neighbour_decides(spark):
+    pages_ = [(1, "http://h/about", "<p>News desk</p><p>about</p>"), (2, "http://h/news/1", "<p>News desk</p><p>Latest</p><p>one</p>"), (3, "http://h/news/2", "<p>Latest</p><p>two</p>")]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(pages_, "page_id long, url string, html string")).collect()}
+    assert got == {1: "about", 2: "News desk\none", 3: "two"}
+    offer = [(k, f"http://h/{k}", f"<article><p>Read our weekly offer</p><p>long text of page number {k}</p></article>") for k in (1, 2)]
+    got = {r.page_id: r.text for r in html_text.extracted(spark.createDataFrame(offer, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"long text of page number {k}" for k in (1, 2)}
+
+
 def archived(pages):
     best = collections.defaultdict(lambda: None)
     for i, _, h in pages:
