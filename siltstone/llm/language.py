@@ -82,6 +82,11 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(counts[some])], names=["lang", "bucket", "count"])
 
 
+def share_below(rows: int, total: int) -> int | None:
+    """The signed 64-bit value that a hash is below for `rows` of `total` rows; None for all of them."""
+    return None if rows >= total else (rows << 64) // total - (1 << 63)
+
+
 def fit(labelled: DataFrame, rows: int = LABELLED) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (buckets x languages), from rows with text and lang.
 
@@ -90,10 +95,9 @@ def fit(labelled: DataFrame, rows: int = LABELLED) -> tuple[list[str], np.ndarra
     """
     labelled = labelled.where("text is not null and lang is not null")
     small_batches(labelled.sparkSession)
-    total = labelled.select("doc_id", "lang").count()
-    share = min(1.0, rows / max(total, 1))
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = share_below(rows, labelled.select("doc_id", "lang").count())
+    if share is not None:  # rows without an id are chosen by their text
+        labelled = labelled.where(F.xxhash64(F.lit("language"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))) < share)
     counts = labelled.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(_counted, "lang string, bucket long, count long")
     found = counts.groupBy("lang", "bucket").agg(F.sum("count").alias("count")).toPandas()
     langs = sorted(found["lang"].unique())
@@ -116,14 +120,15 @@ def predict(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tupl
     return [langs[k] if some else UNKNOWN for k, some in zip(best, has_letter, strict=True)], score
 
 
-def _predictor(spark, model, schema, extra):
+def _predictor(spark, model, result):
+    """result(batch, languages, scores) of each part of a batch."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 lang, score = predict(batch.column("text").to_pylist(), *shared.value)
-                yield extra(batch, lang, score)
+                yield result(batch, lang, score)
 
     return run
 
@@ -140,7 +145,7 @@ def identified(documents: DataFrame, held_out: int = 2, folds: int = 4) -> DataF
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     model = fit(rows.where(fold(F.col("doc_id"), folds) != held_out))
     extra = lambda batch, lang, score: pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-    run = _predictor(spark, model, None, extra)
+    run = _predictor(spark, model, extra)
     return rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -152,4 +157,4 @@ def in_a_language(documents: DataFrame, least: float = 0.5, held_out: int = 2, f
     def extra(batch, lang, score):
         return batch.filter(pa.array((np.array(lang) != UNKNOWN) & (score >= least)))
 
-    return documents.mapInArrow(_predictor(spark, model, None, extra), documents.schema)
+    return documents.mapInArrow(_predictor(spark, model, extra), documents.schema)

@@ -90,6 +90,29 @@ def test_languages(documents, corpus, odd_rows):
     assert language.identified(documents(rows).limit(0)).count() == 0
 
 
+def test_the_share_of_learned_rows_is_exact():
+    assert language.share_below(20_000, 20_000) is None and language.share_below(1, 2) == 0
+    for total in (20_001, 10**6, 5 * 10**10, 10**13):
+        below = language.share_below(20_000, total) + (1 << 63)
+        assert abs(below * total / 2**64 - 20_000) < 0.01
+
+
+def test_posteriors_equal_a_loop(documents, corpus):
+    """Multinomial naive Bayes by hand, over the n-grams' buckets."""
+    texts = [(t, g) for _, t, g in corpus[0][:60]]
+    langs, logs = language.fit(documents([(k, t, g) for k, (t, g) in enumerate(texts)]))
+    count = {g: np.full(language.BUCKETS, language.SMOOTHING) for g in langs}
+    for t, g in texts:
+        for b in language.ngrams([t])[0]:
+            count[g][b] += 1
+    new = [x[1] for x in corpus[0][60:90]]
+    found, score = language.predict(new, langs, logs)
+    for t, g, p in zip(new, found, score, strict=True):
+        total = np.array([sum(np.log(count[k][b] / count[k].sum()) for b in language.ngrams([t])[0]) for k in langs])
+        odds = np.exp(total - total.max())
+        assert g == langs[int(total.argmax())] and abs(p - 1 / odds.sum()) < 1e-2
+
+
 def test_ngrams_equal_a_loop():
     texts = ["Ab, cÉ", "", None, "x", "...", "日本\U0001f600z", "\U0001f600", "\U00020000"]
     got, row, letter = language.ngrams(texts)
