@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import containment, language, near_dups, packing, quality_rules
-from siltstone.llm.common import shared_folder, stored
+from siltstone.llm.common import among, shared_folder, stored
 from siltstone.llm.queries import vocabulary
 
 
@@ -30,7 +30,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are one document: they stay or go together. Rows without one stay.
     """
     dropped = near_dups.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return among(docs, stored(dropped, shared_folder(spark, "pipeline") + "/dropped"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
