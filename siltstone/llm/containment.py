@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,8 +17,9 @@ COORDINATES = 64
 HELD = (75, 100)
 #: Each size class takes items up to so many times the size of the class below.
 GROWTH = 1.5
-#: Bytes of item texts that are broadcast at once; more are searched block by block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of item texts in an index, which is built on the driver and broadcast (some 60 MB); documents are read
+#: once for each index.
+BLOCK_BYTES = 16 << 20
 
 
 class ItemIndex:
@@ -94,16 +97,15 @@ class ItemIndex:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> list[ItemIndex]:
-    """The items, read block by block; a block's texts have about BLOCK_BYTES in all."""
+def _blocks(benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the items; the driver holds one at a time."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-total // BLOCK_BYTES)
-    blocks = []
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()
-        blocks.append(ItemIndex([r.item_id for r in rows], [r.text for r in rows]))
-    return blocks
+        yield spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [r.text for r in rows]))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -119,8 +121,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shared long, n_item long"
     out = spark.createDataFrame([], schema)
-    for index in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for shared in _blocks(benchmark):
 
         def search(batches, shared=shared):
             index = shared.value
@@ -140,8 +141,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents, all columns, that hold no item (see contaminated)."""
     small_batches(documents.sparkSession)
-    for index in _blocks(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+    for shared in _blocks(benchmark):
 
         def keep(batches, shared=shared):
             for whole in batches:

@@ -32,6 +32,9 @@ KEPT_OUT = 4
 _SEEN = np.arange(256, dtype=np.uint8)
 _SEEN[65:91] = np.arange(97, 123)
 _SEEN[list(BLANKS + b".,;:?\"()[]{}")] = 32
+#: Bytes that are a space too where they begin or end a word, but not inside one.
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b"!#*")] = True
 
 
 class Subwords:
@@ -43,10 +46,20 @@ class Subwords:
         place = np.arange(len(data)) + np.repeat(np.arange(1, rows + 1), np.diff(at))
         self.bytes = np.full(len(data) + rows + 1, 32, np.uint8)
         self.bytes[place] = _SEEN[data]
+        self._cut()
+        edge = np.flatnonzero(_EDGE[self.bytes])
+        if len(edge):  # those with nothing else before, or after, them in their word
+            letters = np.concatenate(([0], np.cumsum((self.bytes != 32) & ~_EDGE[self.bytes])))
+            word = np.searchsorted(self.start, edge, "right") - 1
+            outer = (letters[edge] == letters[self.start[word]]) | (letters[self.stop[word]] == letters[edge])
+            self.bytes[edge[outer]] = 32
+            self._cut()
+        self.first = np.searchsorted(self.start, at + np.arange(rows + 1))
+
+    def _cut(self) -> None:
         solid = self.bytes != 32
         self.start = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
         self.stop = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
-        self.first = np.searchsorted(self.start, at + np.arange(rows + 1))
 
     def grams(self, n: int) -> np.ndarray:
         """The bucket of the n bytes from each position on; a word's begin at its space and end at its space."""
@@ -215,8 +228,8 @@ def probabilities(column: pa.Array, z: np.ndarray, slope: float, offset: float)
 def scored(documents: DataFrame, labels: DataFrame, rows: int = LABELLED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of documents (doc_id, text).
 
-    Learns from at most `rows` labelled documents outside the held-out fifth (crc32(doc_id) modulo 5
-    is 0). A text's score is the greatest over its bags of 4 words, so a few words in a long text
+    Learns from at most `rows` labelled documents (and labelled.BYTES of text) outside the held-out fifth
+    (crc32(doc_id) modulo 5 is 0). A text's score is the greatest over its bags of 4 words, so a few words in a long text
     count. Texts without words, null ones too, score 0, as does every text if only one label is known.
     A null id counts as held out. Repeated rows are scored each; other columns are ignored.
     """

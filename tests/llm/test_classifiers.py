@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltstone.llm import language, quality_classifier, toxicity
+from siltstone.llm import labelled, language, quality_classifier, toxicity
 
 SYLLABLES = {"aa": "the an er in on re", "bb": "sch ein ung der keit ß", "cc": "que é au oi les è"}
 
@@ -90,6 +90,68 @@ def test_languages(documents, corpus, odd_rows):
     assert language.identified(documents(rows).limit(0)).count() == 0
 
 
+def test_dual_descent_equals_a_plain_solver():
+    """The hinge loss's dual with a box, by projected gradient steps on the dense problem."""
+    r = np.random.default_rng(3)
+    size = 40
+    docs = [np.unique(r.choice(size, 8)).astype(np.int32) for _ in range(30)]
+    labels, scales = (r.random(30) < 0.4).astype(int), r.normal(0, 1, size)
+    w = quality_classifier.dual_descent(docs, scales, labels, 3000)
+    y = np.where(labels == 1, 1.0, -1.0)
+    x = np.zeros((30, size + 1))
+    for k, d in enumerate(docs):
+        x[k, d] = scales[d] / np.linalg.norm(scales[d])
+    x[:, -1] = 1
+    cost = quality_classifier.COST * 30 / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(30)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert abs(loss(w) - loss((alpha * y) @ x)) < 1e-3 * loss(w)
+
+
+def bags_by_a_loop(text, z):
+    words = []
+    for w in "".join(chr(toxicity._SEEN[b]) for b in (text or "").encode()).split(" "):
+        w = w.encode("latin-1")
+        while w and toxicity._EDGE[w[0]]:
+            w = w[1:]
+        while w and toxicity._EDGE[w[-1]]:
+            w = w[:-1]
+        if w:
+            whole = b" " + w + b" "
+            grams = [whole[k : k + n] for n in toxicity.SIZES for k in range(max(len(whole) - n + 1, 0))]
+            buckets = []
+            for g in grams:
+                key = len(g)
+                for b in g:
+                    key = (key * 0x100000001B3 + b) % (1 << 64)
+                buckets.append(int(toxicity.mix64(np.array([key], np.uint64))[0]) >> 47)
+            words.append(sum(float(z[b]) for b in buckets) / max(len(buckets), 1))
+    half = toxicity.BAG // 2
+    bags = [words[k : k + toxicity.BAG] for k in range(0, max(len(words) - half, 1), half)] if words else []
+    return max((sum(b) / len(b) for b in bags), default=-np.inf)
+
+
+def test_worst_bags_equal_a_loop(odd_rows):
+    z = np.random.default_rng(2).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    texts = [r[1] for r in odd_rows if len(r[1] or "") < 5000] + ["scum!! and", "##moron###", "f*ck -a- b'c!", "!!! ### x", "a b c d e f g", "*", "x! !y", "Ab, cD; é-é"]
+    got = toxicity.worst_bags(pa.array(texts, pa.string()), z)
+    assert np.allclose(got, [bags_by_a_loop(t, z) for t in texts], atol=1e-4)
+    one, two = toxicity.worst_bags(pa.array(["so scum!! it", "so scum it"]), z)
+    assert abs(one - two) < 1e-6
+
+
+def test_samples_are_bounded_by_bytes(spark, documents, prose):
+    rows = [(k, prose(k, 50)) for k in range(40)] + [(90, "x" * 100_000)]
+    labels = spark.createDataFrame([(k, 1, 0) for k, _ in rows], "doc_id long, quality int, toxic int")
+    found = labelled.sample(documents(rows), labels, "quality", 100, most=5000).collect()
+    size = sum(len(r["text"]) for r in found)
+    assert 4000 < size <= 5000 and 90 not in {r["doc_id"] for r in found} and all(dict(rows)[r["doc_id"]] == r["text"] for r in found)
+    assert len(labelled.sample(documents(rows), labels, "quality", 7).collect()) == 7
+
+
 def test_the_share_of_learned_rows_is_exact():
     assert language.share_below(20_000, 20_000) is None and language.share_below(1, 2) == 0
     for total in (20_001, 10**6, 5 * 10**10, 10**13):
