@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import shared_folder, small_batches, stored
+from siltstone.llm.common import BROADCAST_IDS, shared_folder, small_batches, stored
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -30,17 +30,19 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.lower(F.concat(*groups)), NUMERALS, BASE32)
 
 
-def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def records(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """page_id and the whole WARC record of each row of pages (page_id, url, html), without its final END.
 
     Of rows with equal payloads of at least `least_bytes` bytes, that with the largest page_id is a
     response and the others are revisits of it. Null html is an empty payload. A row without a page_id
-    is a response. The largest id of a payload is a partial aggregate, however many share it.
+    is a response. The largest id of a payload is a partial aggregate, however many share it; only digests
+    that several rows have are joined, so payloads stay where they are unless those are very many.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload")})
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"))
-    rows = rows.join(first, "digest", "left")
+    first = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first, f"{folder}/first")
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_IDS // 4 else first, "digest", "left")  # a wide key: fewer
     again = F.col("page_id") < F.col("first")
     name = lambda c: F.concat(F.lit(f"<{RECORD}"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit(HTTP), F.col("bytes").cast("string"), F.lit(END))
@@ -55,13 +57,13 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:0
     return rows.select("page_id", F.concat(header, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "gzip", most_records: int = 50_000) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none", most_records: int = 50_000) -> None:
     """Write archives of the pages below path: text files of records, each ended by END.
 
-    Files hold at most `most_records` records. A compressed one is read by one task; with compression
-    "none" files are read in splits.
+    Files hold at most `most_records` records and are read in splits; those that are compressed as a whole
+    (compression "gzip") are read by one task each.
     """
-    rows = records(pages, least_bytes).select("value")
+    rows = records(pages, shared_folder(pages.sparkSession, "warc"), least_bytes).select("value")
     rows.write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", most_records).text(path)
 
 
