@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +23,23 @@ PHRASES = {
 }
 NOTICES = (
     ("gpl", "gnu general public license", "this work is licensed under the gnu general public license version"),
-    ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("apache", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "gnu lesser general public license", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("agpl", "gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("apache", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("mit", "mit license", "released under the mit license"),
-    ("mit", "without restriction including without limitation", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "without restriction including without limitation", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
     ("cc-by", "creative commons attribution", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
     ("cc-by-nd", "cc by nd", "licensed under cc by nd 4 0"),
-    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
-#: Each notice's words of highest inverse document frequency, of those that files have, that are looked up.
-RARE = 8
 #: Looked-up words that must agree on a notice's place, at least.
 AGREEING = 2
 
@@ -71,21 +71,38 @@ class Vocabulary:
 
 
 class Index:
-    """Notices' postings by rare word, with inverse document frequencies from the corpus."""
+    """Positional postings of the notices by word, and the words' inverse document frequencies over the corpus."""
 
     def __init__(self, vocabulary: Vocabulary, phrases: dict[str, str], notices: tuple, frequency: dict[int, int], documents: int):
         number = vocabulary.number
-        idf = {k: math.log((documents + 1) / (frequency.get(k, 0) + 1)) for k in number.values()}
+        self.idf = {k: math.log((documents + 1) / (frequency.get(k, 0) + 1)) for k in number.values()}
         self.phrases = [(tuple(number[w] for w in p.split()), label) for p, label in phrases.items()]
         self.notices, self.postings = [], {}
         for k, (label, key, text) in enumerate(notices):
             words = text.split()
             known = {at: number[w] for at, w in enumerate(words) if w in number}
-            rare = sorted({v for at, v in known.items() if words[at] not in _COMMON and v in frequency}, key=lambda v: (-idf[v], v))[:RARE]
-            self.notices.append((label, tuple(number[w] for w in key.split()), known, max(1, min(AGREEING, len(rare)))))
-            for at, v in known.items():
-                if v in rare:
-                    self.postings.setdefault(v, []).append((k, at))
+            telling = {at: v for at, v in known.items() if words[at] not in _COMMON}
+            self.notices.append((label, tuple(number[w] for w in key.split()), known, max(1, min(AGREEING, len(set(telling.values()))))))
+            for at, v in telling.items():
+                self.postings.setdefault(v, []).append((k, at))
+
+    def places(self, there: dict[int, int]) -> Iterator[tuple[int, int]]:
+        """(notice, place) pairs that enough of a file's words agree on, as its words of highest idf are looked up, one after another.
+
+        The first word of a notice that is looked up proposes its places, further ones vote for them.
+        """
+        at: dict[int, list[int]] = {}
+        for p, w in there.items():
+            if w in self.postings:
+                at.setdefault(w, []).append(p)
+        votes: Counter = Counter()
+        for w in sorted(at, key=lambda w: (-self.idf[w], w)):
+            for k, q in self.postings[w]:
+                least = self.notices[k][3]
+                for p in at[w]:
+                    votes[k, p - q] += 1
+                    if votes[k, p - q] == least:
+                        yield k, p - q
 
     def scan(self, at: list[int], words: list[int]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """Places of base phrases (count, first, last), base labels, all labels, and the best agreement."""
@@ -96,12 +113,9 @@ class Index:
             if own:
                 starts += own
                 base.add(label)
-        votes = Counter((k, p - q) for p, w in there.items() for k, q in self.postings.get(w, ()))
         labels = set(base)
-        for (k, offset), count in votes.items():
-            label, key, known, least = self.notices[k]
-            if count < least:
-                continue
+        for k, offset in self.places(there):
+            label, key, known, _ = self.notices[k]
             span = range(offset, offset + max(known) + 1)
             if any(all(there.get(p + j) == v for j, v in enumerate(key)) for p in span if there.get(p) == key[0]):
                 labels.add(label)
@@ -133,9 +147,9 @@ def _scan(vocabulary: Vocabulary):
 def scanned(documents: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every row.
 
-    One pass over texts finds the places of licence words; their document frequencies, over all
-    rows, choose the rarest words of each notice. Wherever at least two of those stand as far apart
-    as in the notice, and its key phrase stands there too, the notice's label is added. score is the
+    One pass over texts finds the places of licence words; their document frequencies are over all
+    rows. Each file's licence words are looked up from the rarest on. Wherever two of them stand as far
+    apart as in a notice, and its key phrase stands there too, the notice's label is added. score is the
     best share of a notice's words at their places (at least 0.5 with a base phrase, else 0 without).
 
     Null and empty texts have no words and no labels (empty strings). Repeated rows are scanned each;
