@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.workspace import stored
+
 
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two array columns."""
@@ -41,6 +43,14 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 1, rounds: int = 20) -> DataF
     return model.transform(rows).select("id", "vector", F.col("prediction").alias("cluster"))
 
 
+def lloyd(vectors: DataFrame, first: DataFrame, rounds: int) -> DataFrame:
+    """id, vector, cluster and distance after some rounds of k-means from given first centres (cluster, centroid)."""
+    centres = first
+    for _ in range(rounds):
+        centres = stored(centroids(assigned(vectors, centres).select("cluster", "vector")), "centres")
+    return assigned(vectors, centres)
+
+
 def spreads(vectors: DataFrame) -> DataFrame:
     """(cluster, size, intra): the mean distance of a cluster's members to its centroid, over n - 1."""
     rows = vectors.join(F.broadcast(centroids(vectors)), "cluster")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.config import Config
 from siltstone.functions import scalars
-from siltstone.functions.workspace import spread, stored
+from siltstone.functions.workspace import folder, spread, stored
 from siltstone.operators import clusters, history, matching, parsing, patterns, tables, templates, terms
 from siltstone.operators import tokens as tok
 from siltstone.plans import sql
@@ -38,11 +37,13 @@ def query(text: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from siltstone.plans import state  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +79,19 @@ def templates_(spark, sf_dir):
 _QUERIES["templates"], _SQL["templates"] = _QUERIES.pop("templates_"), _SQL.pop("templates_")
 
 
-@query(sql.chain(sql.LINES, sql.token_table(), sql.DF, sql.BORDER, sql.masked(), select=sql.COUNTS + " order by count desc, template limit 20"))
+_SCORED = (
+    sql.LINES, sql.token_table(), sql.DF, sql.BORDER, sql.masked(),
+    "every as (select sum(df)::double as every from df)",
+    "open as (select template, m, d, every, list_filter(generate_series(1, len(m)), lambda i: m[i] <> '*') as o from found, every)",
+    "scored as (select template, count(*) as count, coalesce(round(max(case when len(o) > 0 then list_sum(list_transform(o, lambda i: ln(every / d[i]) + 1)) / len(o) else 0 end), 5), 0) as score from open group by template)",
+)
+
+
+@query(sql.chain(*_SCORED, select="select template, count, score from scored order by count desc, score, template limit 20"))
 def top_templates(spark, sf_dir):
-    return templates.templates(messages(spark, sf_dir), PLAIN).orderBy(F.desc("count"), "template").limit(20)
+    found = templates.masked_sequences(messages(spark, sf_dir).select("msg"), PLAIN)
+    found = found.groupBy(F.array_join("masked", " ").alias("group_id")).agg(F.sum("lines").cast("long").alias("count"), F.round(F.max("score"), 5).alias("score"))
+    return templates.top(found, 20).select(F.col("group_id").alias("template"), "count", "score")
 
 
 @query(sql.chain(sql.LINES, sql.token_table(), sql.DF, select="select term, df from df"))
@@ -298,11 +309,11 @@ def _stream(spark, sf_dir, name, run):
     path = f"{sf_dir}/{name}.parquet"
     frame = spark.read.parquet(path)
     source = spark.readStream.schema(frame.schema).option("pathGlobFilter", f"{name}.parquet" if not path.startswith("viewfs") else "*").parquet(sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    view = f"stream_{name}_{abs(hash(sf_dir)) % 10**8}"
-    q = run(source).writeStream.outputMode("complete").format("memory").queryName(view).option("checkpointLocation", f"{folder}/stream-{view}-{F.rand()._jc.hashCode()}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(view)
+    at = folder(spark, f"stream-{name}")
+    found = run(source)
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{at}/result")
+    found.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/position").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/result")
 
 
 @query(f"select event_type, {sql.EVENT_HOUR} as clock, count(*) as value from events group by all")
@@ -383,10 +394,10 @@ def first_last_seen(spark, sf_dir):
     return timed_events(spark, sf_dir).groupBy("event_type").agg(F.min("epoch").alias("created"), F.max("epoch").alias("updated"), F.count("*").alias("count"))
 
 
-_SEARCHED = ("idiot", "license", "the", "thing")
+_SEARCHED = ("idiot", "license", "the", "thing", "4", "4.0", "by-nc", "cc by", "u")
 
 
-@query(f"select doc_id as id, w as word from documents, (select unnest({list(_SEARCHED)}) as w) where regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || w || '($|[^\\p{{L}}\\p{{N}}_])')")
+@query(f"select doc_id as id, w as word from documents, (select unnest({list(_SEARCHED)}) as w) where regexp_matches(lower(text), '(^|[^a-z])' || regexp_escape(w) || '($|[^a-z])')")
 def multi_word_match(spark, sf_dir):
     words = spark.createDataFrame([(w,) for w in _SEARCHED], "word string")
     return matching.whole_words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), words)
@@ -541,17 +552,21 @@ def next_divisible(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.next_divisible(F.col("p_partkey"), F.lit(7)).alias("next"))
 
 
-@query("select p_partkey, coalesce(try_cast(substr(p_name, 1, 2) as bigint), try_cast(p_size::varchar as bigint), 0) as value from part")
+@query("select p_partkey, coalesce(try_cast(p_name as bigint), 0) as of_name, coalesce(try_cast(p_size::varchar as bigint), 0) as of_size, coalesce(case when regexp_matches(right(p_brand, 2), '^[0-9]+$') then right(p_brand, 2)::bigint end, 0) as of_brand from part")
 def to_int_or_zero(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.substring("p_name", 1, 2).try_cast("long"), scalars.to_int_or_zero(F.col("p_size").cast("string"))).alias("value"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.to_int_or_zero(F.col("p_name")).alias("of_name"), scalars.to_int_or_zero(F.col("p_size").cast("string")).alias("of_size"), scalars.to_int_or_zero(F.expr("right(p_brand, 2)")).alias("of_brand"))
 
 
-_NUMBERS = "(select unnest(['0', '12', '012', '1.5', '1.', '.5', 'a1', '-3', '1e3', '', '1.2.3']) as s)"
+_NUMBERS = """(select p_name as s from part union select p_size::varchar from part union select l_quantity::varchar from lineitem union select '0' || p_size from part union select '.' || p_size || 'e3' from part
+union select unnest(['', '1.', '-3', '1.2.3']))"""
 
 
 @query(f"select s, regexp_matches(s, '^(0|[1-9][0-9]*)$') as is_int, regexp_matches(s, '^\\d+(\\.\\d+)?$') as is_real, try_cast(s as double) is not null as is_numeric from {_NUMBERS}")
 def number_checks(spark, sf_dir):
-    rows = spark.createDataFrame([(s,) for s in ("0", "12", "012", "1.5", "1.", ".5", "a1", "-3", "1e3", "", "1.2.3")], "s string")
+    part = table(spark, sf_dir, "part").select("p_name", F.col("p_size").cast("string").alias("p_size"))
+    rows = part.select(F.explode(F.array("p_name", "p_size", F.concat(F.lit("0"), "p_size"), F.concat(F.lit("."), "p_size", F.lit("e3")))).alias("s"))
+    rows = rows.union(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("string")))
+    rows = rows.union(spark.createDataFrame([(s,) for s in ("", "1.", "-3", "1.2.3")], "s string")).distinct()
     return rows.select("s", scalars.is_int(F.col("s")).alias("is_int"), scalars.is_real_number(F.col("s")).alias("is_real"), scalars.is_numeric(F.col("s")).alias("is_numeric"))
 
 
@@ -615,8 +630,3 @@ select id, cluster, round(case when a is null or b is null then 0 else (b - a) /
 )
 def silhouette(spark, sf_dir):
     return clusters.pair_silhouettes(_vectors(spark, sf_dir)).withColumn("silhouette", F.round("silhouette", 4))
-
-
-@query(None)
-def kmeans(spark, sf_dir):
-    return clusters.kmeans(_vectors(spark, sf_dir), 8).select("id", "cluster")

@@ -65,7 +65,7 @@ EVENT_DAY = "(floor(epoch(ts))::bigint // 86400) * 86400"
 DENSE = f"""cells as (select event_type, {EVENT_HOUR} as clock, count(*) as value from events group by all),
 line as (select event_type, unnest(generate_series((select min(clock) from cells), (select max(clock) from cells), 3600)) as clock from (select distinct event_type from cells)),
 series as (select l.event_type, l.clock, coalesce(value, 0)::bigint as value from line l left join cells c on c.event_type = l.event_type and c.clock = l.clock)"""
-USER_DENSE = DENSE.replace("event_type", "user_id").replace("from events", "from events where user_id < 200")
+USER_DENSE = DENSE.replace("event_type", "user_id")
 SIGNS = """marked as (
     select *, avg(value) over w as mean, stddev_pop(value) over w as dev, lag(value) over (partition by user_id order by clock) as before from series window w as (partition by user_id)
 ),

@@ -110,7 +110,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
 
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
-    """One row a time with a column for each metric, from JSON [{metric, datapoints: [[value, time]]}]."""
+    """One row a time with a column for each metric (the largest of several values), from JSON [{metric, datapoints: [[value, time]]}]."""
     raw = spark.read.option("multiLine", True).schema("metric string, datapoints array<array<double>>").json(path)
     points = raw.select("metric", F.explode("datapoints").alias("p")).select("metric", F.col("p")[1].cast("long").alias("time"), F.col("p")[0].alias("value"))
-    return points.groupBy("time").pivot("metric").agg(F.first("value"))
+    return points.groupBy("time").pivot("metric").agg(F.max("value"))

@@ -89,6 +89,16 @@ class Store:
         names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
         return sorted(int(n.removeprefix("block=")) for n in names if n.startswith("block="))
 
+    def status(self, table: str) -> DataFrame:
+        """(block, rows, completed) of the blocks that are there: all but the last are complete."""
+        rows = self.read(table).groupBy("block").agg(F.count("*").alias("rows"))
+        last = self.blocks(table)[-1:] or [0]
+        return rows.select("block", "rows", (F.col("block") < last[0]).alias("completed"))
+
+    def read_completed(self, table: str) -> DataFrame:
+        """The rows of complete blocks; the last partition is not read."""
+        return self.read(table, self.blocks(table)[:-1])
+
     def retain(self, table: str, keep: int) -> list[int]:
         """Drop blocks that are `keep` or more before the last; 0 keeps all. Returns those dropped."""
         there = self.blocks(table)

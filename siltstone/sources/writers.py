@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,17 +21,25 @@ def write_last_messages(found: DataFrame, path: str) -> None:
 
 
 def write_history(cells: DataFrame, path: str, unit: int) -> dict:
-    """itemid, clock and value as CSV, and their span as info.json beside them (local paths) and as the result."""
+    """itemid, clock and value as CSV, and their span as <path without .csv>_info.json beside them and as the result."""
     rows = cells.select(F.col("group_id").alias("itemid"), "clock", "value")
     rows.write.mode("overwrite").option("header", True).csv(path)
     span = cells.agg(F.min("clock").alias("start"), F.max("clock").alias("end")).first()
     info = {"start": span["start"], "end": span["end"], "unit_secs": unit}
-    if "://" not in path:
-        with open(os.path.join(path, "info.json"), "w") as out:
-            json.dump(info, out)
+    _write_text(cells.sparkSession, f"{path.removesuffix('.csv')}_info.json", json.dumps(info))
     return info
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, wherever Spark writes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def group_report(found: DataFrame) -> list[str]:
     """Lines of a bounded table of groups (after top())."""
     return [f"{r['count']:>10} {r['score']:8.2f} {r['display']}" for r in found.collect()]

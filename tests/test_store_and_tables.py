@@ -142,8 +142,11 @@ def test_clusters(spark):
 
 def test_matching(spark):
     texts = spark.createDataFrame([(1, "the Cat catcar car"), (2, "cat-a 4car car4 x")], "id long, text string")
-    words = spark.createDataFrame([("cat",), ("car",), ("at",)], "word string")
-    assert {(r["id"], r["word"]) for r in matching.whole_words(texts, words).collect()} == {(1, "cat"), (1, "car"), (2, "cat")}
+    words = spark.createDataFrame([("cat",), ("car",), ("at",), ("r4",), ("4",), ("cat-A",), ("t c",)], "word string")
+    found = {(r["id"], r["word"]) for r in matching.whole_words(texts, words).collect()}
+    assert found == {(1, "cat"), (1, "car"), (2, "cat"), (2, "car"), (2, "cat-a")}  # only letters a-z are boundaries; a 4 stands beside one both times
+    legs = matching.whole_words(spark.createDataFrame([(1, "leg p12 rings 7")], "id long, text string"), spark.createDataFrame([("p1",), ("7",), ("2",), ("p",)], "word string"))
+    assert {r["word"] for r in legs.collect()} == {"p1", "7", "2", "p"}
     assert {(r["id"], r["word"]) for r in matching.substrings(texts, ["at", "tc"]).collect()} == {(1, "at"), (1, "tc"), (2, "at")}
 
 
