@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.config import Config
+from siltstone.functions.workspace import stored
 from siltstone.operators.parsing import parsed
 from siltstone.operators.templates import groups, masked_sequences
 from siltstone.operators.terms import term_counts
@@ -35,6 +36,7 @@ def feed(lines: DataFrame, config: Config, number: int) -> None:
     spark = lines.sparkSession
     store = store_of(spark, config)
     messages = parsed(lines, config).withColumn("tokens", tokens(F.col("msg"), config)).withColumn("block", block_of(F.greatest(F.col("bucket"), F.lit(0)), config.unit_secs))
+    messages = stored(messages, "messages")  # raw logs are read and matched once
     fresh = term_counts(messages.groupBy("block", "tokens").agg(F.count("*").alias("lines")), "block").withColumn("feed", F.lit(number).cast("long"))
     earlier = store.read("terms").where(F.col("feed") != number)
     total = earlier.select("term", "df").union(fresh.select("term", "df")).groupBy("term").agg(F.sum("df").cast("long").alias("df"))

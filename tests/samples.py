@@ -1,4 +1,7 @@
-"""Small logs that are made of a rule."""
+"""Small logs that are made of a rule.
+
+Fixed values: the words, their groups of ten and the format of these lines, for which the groups' counts are known.
+"""
 
 import datetime
 

@@ -4,6 +4,8 @@ import statistics
 from siltstone.operators import history, patterns
 
 
+# Two sessions' series of groups, matched lines and times, and the patterns, starts and counts
+# that they must give, here and in the test of relations.
 def records(spark):
     one = zip("5 6 7 5 6 7 7 5 6 7 5".split(), [1, 0, 0, 1, 0, 0, 0, 1, 0, 0, 1], [1, 1, 2, 11, 11, 12, 12, 21, 21, 23, 30], strict=True)
     two = zip("5 6 7 7 5 6 7 9".split(), [1, 0, 0, 0, 1, 0, 0, 1], [15, 15, 16, 16, 25, 25, 26, 35], strict=True)
