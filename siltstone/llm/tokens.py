@@ -8,8 +8,8 @@ from array import array
 from collections.abc import Iterable, Iterator
 
 #: Parts that were met again (kept at hand), parts that were met once (two generations of them), and
-#: characters of a part that is kept at all: 260,000 parts or some 50 MB.
-KEPT_PARTS, NEW_PARTS, KEPT_LETTERS = 1 << 17, 1 << 16, 32
+#: characters of a part that is kept at all: 520,000 parts or some 100 MB.
+KEPT_PARTS, NEW_PARTS, KEPT_LETTERS = 1 << 18, 1 << 17, 32
 
 
 class Encoder(dict):
