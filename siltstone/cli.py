@@ -1,4 +1,8 @@
-"""Command line: feed, groups, history, patterns, test and clean."""
+"""Command line: feed, groups, history, patterns, test and clean.
+
+With a data folder, reports feed what is new in the logs and show what the store holds; without one,
+they show the logs that are there.
+"""
 
 from __future__ import annotations
 
@@ -57,6 +61,21 @@ def session_patterns(messages: DataFrame, config: Config) -> DataFrame:
     return patterns.detected(records, config.pattern_detection_mode, tags)
 
 
+def report(spark: SparkSession, config: Config):
+    """Functions that make the groups, the history's cells and the patterns, of the store or of the logs."""
+    if config.data_dir:
+        if config.log_path:
+            feeds.resume(spark, config)
+        return lambda: feeds.scored_groups(spark, config), lambda: feeds.stored_history(spark, config), lambda: feeds.stored_patterns(spark, config)
+    messages = parsed(log_lines(spark, config.log_path), config)
+
+    def cells() -> DataFrame:
+        rows = messages.withColumn("tokens", tokens(F.col("msg"), config))
+        return history.group_history(rows, templates.masked_sequences(messages, config), config.unit_secs)
+
+    return lambda: templates.groups(messages, config), cells, lambda: session_patterns(messages, config)
+
+
 def explained(spark: SparkSession, line: str, config: Config) -> dict:
     """How one line is read: timestamp, message, tokens, pattern key and tags."""
     rows = parsed(spark.createDataFrame([(line,)], "line string"), config).withColumn("tokens", tokens(F.col("msg"), config))
@@ -77,9 +96,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     elif args.command == "feed":
         feeds.resume(spark, config)
     else:
-        lines = log_lines(spark, config.log_path)
-        messages = parsed(lines, config)
-        found = templates.in_range(templates.groups(messages, config), args.min_count, args.max_count, 0, args.search, args.exclude)
+        groups, timeline, sessions = report(spark, config)
+        found = templates.in_range(groups(), args.min_count, args.max_count, 0, args.search, args.exclude)
         ranked = templates.top(found, args.n, args.asc)
         if args.command == "groups":
             out = group_report(ranked)
@@ -87,17 +105,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
                 write_groups(ranked, f"{config.out_dir}/logGroups.csv")
                 write_last_messages(ranked, f"{config.out_dir}/logGroups_last.csv")
         elif args.command == "history":
-            rows = messages.withColumn("tokens", tokens(F.col("msg"), config))
-            cells = history.group_history(rows, templates.masked_sequences(messages, config), config.unit_secs)
+            cells = timeline()
             cells = cells.where(F.col("group_id") == args.group_id) if args.group_id else cells.join(F.broadcast(ranked.select("group_id")), "group_id", "left_semi") if args.n > 0 else cells
             if config.out_dir:
                 write_history(cells, f"{config.out_dir}/history.csv", config.unit_secs)
             shown, more = bounded(cells.orderBy("group_id", "clock"), 10_000)
             out = [f"{r['group_id']} {r['clock']} {r['value']}" for r in shown] + more
         else:
-            every = patterns.ranked(session_patterns(messages, config), args.n)
+            every = patterns.ranked(sessions(), args.n)
             if config.out_dir:
-                write_patterns(every, templates.groups(messages, config), f"{config.out_dir}/patterns.csv")
+                write_patterns(every, groups(), f"{config.out_dir}/patterns.csv")
             out = pattern_report(every)
     print("\n".join(out))
     return out

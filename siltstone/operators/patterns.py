@@ -44,17 +44,22 @@ def tag_strings(tags: DataFrame) -> DataFrame:
     return tags.groupBy("pattern_key").agg(F.array_join(each, ", ").alias("relation"))
 
 
-def associated(keyed: DataFrame) -> DataFrame:
-    """(pattern_key, ord, epoch, matched, group_id) of lines that belong to a session.
+def associated(keyed: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """(pattern_key, ord, epoch, matched, group_id; block if there) of lines that belong to a session.
 
     keyed: ord, epoch, tokens, group_id, pattern_key. A line belongs to the key that is one of its tokens
     and was seen in a line up to this one; of several, to that of the last token. matched: the line
-    itself has a key. Keys are compared in lower case, as tokens are.
+    itself has a key. Keys are compared in lower case, as tokens are. earlier (pattern_key): keys that
+    were seen before all of these lines.
     """
     first = keyed.where(F.col("pattern_key").isNotNull()).groupBy(F.lower("pattern_key").alias("key")).agg(F.min("ord").alias("since"), F.min_by("pattern_key", "ord").alias("name"))
-    parts = keyed.select("ord", "epoch", "group_id", F.col("pattern_key").isNotNull().alias("matched"), F.posexplode("tokens").alias("pos", "key"))
-    found = parts.join(first, "key").where("ord >= since")
-    return found.groupBy("ord").agg(F.max_by("name", "pos").alias("pattern_key"), F.first("epoch").alias("epoch"), F.first("matched").alias("matched"), F.first("group_id").alias("group_id")).select("pattern_key", "ord", "epoch", "matched", "group_id")
+    if earlier is not None:
+        old = earlier.groupBy(F.lower("pattern_key").alias("key")).agg(F.min("pattern_key").alias("old"))
+        first = first.join(old, "key", "full").select("key", F.when(F.col("old").isNull(), F.col("since")).alias("since"), F.coalesce("old", "name").alias("name"))
+    carried = ["epoch", "matched", "group_id", *(["block"] if "block" in keyed.columns else [])]
+    parts = keyed.withColumn("matched", F.col("pattern_key").isNotNull()).select("ord", *carried, F.posexplode("tokens").alias("pos", "key"))
+    found = parts.join(first, "key").where("since is null or ord >= since")
+    return found.groupBy("ord").agg(F.max_by("name", "pos").alias("pattern_key"), *[F.first(c).alias(c) for c in carried]).select("pattern_key", "ord", *carried)
 
 
 def _sequence(by: list[str], rows: DataFrame) -> DataFrame:

@@ -30,22 +30,29 @@ def sequences(messages: DataFrame, config: Config) -> DataFrame:
     return stored(rows.groupBy("tokens").agg(*aggregates), "sequences")
 
 
+def with_df(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows (term and others) with their terms' df; masks and null terms have none, other unknown terms go.
+
+    The most frequent terms, which are all hot keys, are broadcast; only rare ones are joined by a shuffle.
+    """
+    top = counts.where(F.length("term") <= LONGEST).orderBy(F.desc("df"), "term").limit(FREQUENT)
+    known = rows.join(F.broadcast(top.select("term", "df")), "term", "left")
+    done = known.where(F.col("df").isNotNull() | F.col("term").isNull() | (F.col("term") == MASK))
+    rare = known.where(F.col("df").isNull() & F.col("term").isNotNull() & (F.col("term") != MASK)).drop("df").join(counts.select("term", "df"), "term")
+    return done.unionByName(rare)
+
+
 def masks(distinct: DataFrame, config: Config, counts: DataFrame | None = None, border_: DataFrame | None = None) -> DataFrame:
     """tokens, masked, dfs, border_line and score of each distinct token sequence (tokens, lines).
 
-    counts: the terms' frequencies; border_: one row, border. Frequencies reach tokens by a broadcast
-    of the most frequent terms, which are most tokens and all hot keys, and a join for the others.
+    counts: the terms' frequencies; border_: one row, border.
     """
     counts = stored(term_counts(distinct) if counts is None else counts, "terms")
     if border_ is None:
         border_ = distinct.sparkSession.range(1).select(F.lit(config.term_count_border).cast("long").alias("border")) if config.term_count_border else border(counts, config.term_count_border_rate)
     total = (counts.agg(F.sum("df").alias("total"))).crossJoin(F.broadcast(border_))
     key = distinct.select(F.xxhash64("tokens").alias("a"), F.hash("tokens").alias("b"), F.posexplode_outer("tokens").alias("pos", "term"))
-    top = counts.where(F.length("term") <= LONGEST).orderBy(F.desc("df"), "term").limit(FREQUENT)
-    known = key.join(F.broadcast(top), "term", "left")
-    done = known.where(F.col("df").isNotNull() | F.col("term").isNull() | (F.col("term") == MASK))
-    rare = known.where(F.col("df").isNull() & F.col("term").isNotNull() & (F.col("term") != MASK)).drop("df").join(counts, "term")
-    pairs = done.select("a", "b", "pos", "term", F.coalesce("df", F.lit(0).cast("long")).alias("df")).union(rare.select("a", "b", "pos", "term", "df"))
+    pairs = with_df(key, counts).withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
     lines = pairs.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term", "df")))).alias("s"))
     lines = lines.select(F.col("s.term").alias("tokens"), F.col("s.df").alias("dfs")).crossJoin(F.broadcast(total))
     lines = lines.withColumn("border_line", line_border(F.col("dfs"), F.col("border"), config.min_match_rate))

@@ -57,6 +57,17 @@ def resume_position(spark, sf_dir):
     return feeds.stored_groups(spark, config).agg(F.sum("count").cast("long").alias("lines"), F.min("created").alias("created"), F.max("updated").alias("updated"))
 
 
+@query(f"select {sql.EVENT_DAY} as clock, count(*) as value from events group by all")
+def stored_history(spark, sf_dir):
+    return feeds.stored_history(spark, _fed(spark, sf_dir)).groupBy("clock").agg(F.sum("value").cast("long").alias("value"))
+
+
+@query("select distinct user_id::varchar as pattern_key, 'kind' as name from events")
+def stored_tags(spark, sf_dir):
+    """Keys with their tags, of two feeds of a store."""
+    return feeds.stored_tags(spark, _fed(spark, sf_dir, pattern_key_regexes=(r"(?P<kind>[a-z_]+) user=(?P<patternKey>\d+)",))).select("pattern_key", "name")
+
+
 _BLOCKS = "blocks as (select floor(epoch(ts))::bigint // 86400 as block, count(*) as lines from events group by all)"
 
 

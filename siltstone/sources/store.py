@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+#: The place of a line in what was fed, as log_lines() has it.
+PLACE = "struct<time:timestamp,path:string,block:bigint,place:bigint>"
+
 # The tables of an analysis.
 TABLES = {
     "terms": "block long, term string, count long",
     "log_groups": "block long, group_id long, bucket long, count long, created long, updated long, display string, last_message string",
-    "pattern_keys": "block long, pattern_key string, seq long, epoch long, matched boolean, group_id long",
-    "pattern_tags": "block long, pattern_key string, name string, value string",
+    "pattern_keys": f"block long, pattern_key string, ord {PLACE}, epoch long, matched boolean, group_id long",
+    "pattern_tags": f"block long, pattern_key string, name string, value string, ord {PLACE}",
 }
 
 
