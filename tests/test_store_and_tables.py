@@ -138,6 +138,8 @@ def test_clusters(spark):
     assert {r["id"] for r in clusters.without_outliers(v, 1.2).collect()} == {0, 1, 2, 3}
     assert len({r["cluster"] for r in clusters.best_kmeans(v, 2, 2, 2).collect()}) == 2
     assert clusters.silhouettes(v).count() == 5 and clusters.pair_silhouettes(v).count() == 5
+    scores = lambda tile: {r['id']: round(r['silhouette'], 9) for r in clusters.pair_silhouettes(v, tile).collect()}
+    assert scores(1) == scores(256)
 
 
 def test_matching(spark):
