@@ -47,7 +47,8 @@ def settings(args: argparse.Namespace) -> Config:
         with open(args.config) as text:
             config = Config.from_yaml(text.read())
     config = config.with_values({"log_path": args.log_path, "data_dir": args.data_dir, "out_dir": args.out_dir})
-    if not config.search_regex and not config.exclude_regex:  # then they filter lines too
+    stored = config.data_dir and args.command != "feed"  # reports feed all new lines, whatever they show
+    if not config.search_regex and not config.exclude_regex and not stored:  # then they filter lines too
         config = config.with_values({"search_regex": args.search, "exclude_regex": args.exclude})
     return config
 
