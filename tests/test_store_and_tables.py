@@ -142,6 +142,46 @@ def test_clusters(spark):
     assert scores(1) == scores(256)
 
 
+def test_silhouettes_of_blocks_equal_sql(spark):
+    """Repeated ids, null clusters and vectors, copies far from 0 and blocks of every size, against every pair."""
+    import duckdb
+
+    from siltstone.plans import catalogue
+
+    shapes = [(k, k % 3, [1e4 + k % 3 + 0.01 * (k % 7), 0.5 * (k % 5), -1e4]) for k in range(40)]
+    shapes += [(3, 1, [1e4, 9.0, -1e4]), (3, 2, [1e4, 2.0, -1e4]), (50, None, [1e4, 1.0, 0.0]), (51, 1, None), (52, 7, [1e4, 3.0, 0.0]), (None, 0, [0.0, 0.0, 0.0])]
+    same = [(k, k % 2, [0.1, 0.2, 0.3]) for k in range(6)]
+    for rows in (shapes, same, same[:1], same[:0]):
+        v = spark.createDataFrame(rows, "id long, cluster int, vector array<float>")
+        con = duckdb.connect()
+        con.sql("create table embeddings (vec_id bigint, label int, embedding float[])")
+        for row in rows:
+            con.execute("insert into embeddings values (?, ?, ?)", row)
+        want = sorted((repr(r) for r in con.sql(catalogue.oracle_sql()["silhouette"]).fetchall()))
+        for tile in (1, 7, 2048):
+            got = clusters.pair_silhouettes(v, tile).withColumn("silhouette", F.round("silhouette", 4)).collect()
+            assert sorted(repr(tuple(r)) for r in got) == want
+    with pytest.raises(Exception, match="other lengths"):
+        clusters.pair_silhouettes(spark.createDataFrame([(1, 0, [1.0]), (2, 0, [1.0, 2.0])], "id long, cluster int, vector array<double>")).collect()
+
+
+def test_silhouettes_of_many_rows_are_soon_there(spark):
+    """Six thousand rows, 36 million pairs: distances by matrix products, not by an expression for each pair."""
+    import time
+
+    import numpy as np
+
+    x, label = np.random.default_rng(3).normal(size=(6000, 64)), np.arange(6000) % 5
+    v = spark.createDataFrame([(k, int(label[k]), x[k].tolist()) for k in range(6000)], "id long, cluster int, vector array<double>").localCheckpoint()
+    began = time.time()
+    got = {r["id"]: r["silhouette"] for r in clusters.pair_silhouettes(v).collect()}
+    assert time.time() - began < 25 and len(got) == 6000
+    for k in (0, 17, 5999):
+        d = np.sqrt(((x - x[k]) ** 2).sum(axis=1))
+        a, b = d[label == label[k]].sum() / 1199, min(d[label == c].mean() for c in range(5) if c != label[k])
+        assert abs(got[k] - (b - a) / max(a, b)) < 1e-9
+
+
 def test_matching(spark):
     texts = spark.createDataFrame([(1, "the Cat catcar car"), (2, "cat-a 4car car4 x")], "id long, text string")
     words = spark.createDataFrame([("cat",), ("car",), ("at",), ("r4",), ("4",), ("cat-A",), ("t c",)], "word string")
