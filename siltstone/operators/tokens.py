@@ -16,7 +16,8 @@ MASK = "*"
 
 def words(msg: Column, separators: str) -> Column:
     """The lower-cased parts of a message between separators."""
-    return F.filter(F.split(F.translate(F.lower(msg), separators, " " * len(separators)), " "), lambda w: w != "")
+    between = "".join(c if c.isalnum() else "\\" + c for c in " " + separators)
+    return F.filter(F.split(F.lower(msg), f"[{between}]"), lambda w: w != "")
 
 
 def undotted(word: Column) -> Column:

@@ -235,8 +235,8 @@ def output_filter(spark, sf_dir):
     )
 )
 def regroup_new_border(spark, sf_dir):
-    found = templates.templates(messages(spark, sf_dir), PLAIN)
-    rows = found.select(F.col("template").alias("display"), "count", F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"))
+    found = templates.masked_sequences(messages(spark, sf_dir).select("msg"), PLAIN)  # groups in parts
+    rows = found.select(F.array_join("masked", " ").alias("display"), F.col("lines").alias("count"), F.lit(0).cast("long").alias("created"), F.lit(0).cast("long").alias("updated"))
     return templates.regrouped(rows, Config(term_count_border=3, min_match_rate=0.3)).select("template", "count")
 
 

@@ -131,3 +131,50 @@ def test_regrouping_adds_counts(spark):
 def test_empty_table(spark):
     rows = parsing.parsed(lines(spark, ["x"]).limit(0), BASE)
     assert templates.groups(rows, BASE).count() == 0 and templates.templates(rows, Config()).count() == 0
+
+
+def test_a_long_line_is_masked_in_time_that_grows_with_its_length(spark):
+    """The line's border is found once a line, not once for each of its tokens."""
+    import time
+
+    texts = [" ".join(f"w{(k * 7 + i * (k + 3)) % 9001}" for i in range(6000)) for k in range(40)]
+    rows = parsing.parsed(lines(spark, texts), Config())
+    templates.templates(rows.limit(1), Config()).collect()
+    began = time.time()
+    assert sum(r["count"] for r in templates.templates(rows, Config(term_count_border=3)).collect()) == 40
+    assert time.time() - began < 12
+
+
+def test_frequencies_are_the_same_however_many_are_looked_up(spark):
+    """dfs of rows against a loop: all terms, some or none looked up; masks, long terms and empty sequences too."""
+    from collections import Counter
+
+    random.seed(11)
+    words = [f"t{k}" for k in range(40)] + ["*", "x" * 80]
+    rows = [[random.choice(words) for _ in range(random.randint(1, 30))] for _ in range(50)] + [["only"], []]
+    distinct = templates.by_sequence(spark.createDataFrame([(r,) for r in rows], "tokens array<string>"), F.count("*").alias("lines"))
+    counts = terms.term_counts(distinct)
+    df = Counter(t for r in rows for t in set(r) if t != "*")
+    for most in (0, 5, 30, 1000):
+        got = {r["joined"]: r["dfs"] for r in templates.with_dfs(distinct.drop("tokens"), counts, most).collect()}
+        assert got == {" ".join(r): [df[t] for t in r] for r in rows}
+    assert templates.looked_up(counts, 5)[0].num_rows <= 5 and templates.looked_up(counts, 1000)[1] is None
+    few = counts.where(F.length("term") < 9)
+    assert templates.looked_up(few, 1000)[1] == 0 and templates.looked_up(few, 1000)[0].num_rows == few.count()
+    ones = counts.where("df = 1 or df > 20").where(F.length("term") < 9)
+    assert templates.looked_up(ones, ones.where("df > 1").count())[1] == 1
+
+
+def test_groups_in_parts_are_regrouped_as_whole_ones(spark):
+    config = BASE.with_values({"term_count_border": 20, "min_match_rate": 0.4})
+    whole = templates.groups(parsing.parsed(lines(spark, hourly(FIRST)), BASE), BASE).select("display", "count", "created", "updated")
+    parts = whole.withColumn("count", F.col("count") - 3).unionByName(whole.withColumn("count", F.lit(3).cast("long")))
+    found = lambda rows: sorted((r["template"], r["count"]) for r in templates.regrouped(rows, config).collect())
+    assert found(parts) == found(whole)
+
+
+def test_words_between_any_separators(spark):
+    row = spark.createDataFrame([("a^b-c]d\\e[f n&&g é  Xy\ttab",)], "msg string")
+    words = lambda separators: row.select(tokens(F.col("msg"), Config(separators=separators)).alias("t")).first()["t"]
+    assert words("^-]\\[&nX") == ["a", "b", "c", "d", "e", "f", "g", "é", "xy\ttab"]
+    assert words("") == ["a^b-c]d\\e[f", "n&&g", "é", "xy\ttab"]
