@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import count as counted
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import U64, Words, among, int_list, mix64, shared_folder, shingles, slices, small_batches, stored
+from siltstone.llm.common import BROADCAST_IDS, U64, Words, among, int_list, mix64, shared_folder, shingles, slices, small_batches, stored
 
 BANDS = 32
 ROWS = 4
@@ -18,6 +19,8 @@ SIMILAR = (75, 100)
 #: Coordinates that must agree in their low byte before texts are fetched: 5.3 standard deviations below
 #: what a link at the least similarity has, so one in 10 million is missed.
 AGREEING = 70
+#: Edges that are joined in one task's memory (some 150 bytes each).
+FOREST_EDGES = 1_000_000
 
 _SHIFT = np.uint32(0x9E3779B1)
 
@@ -102,14 +105,17 @@ def _agreeing(batches):
         yield batch.select(["id", "lead"]).filter(pa.array((own == lead).sum(1) >= AGREEING, pa.bool_()))
 
 
-def ids_of(pairs: DataFrame, folder: str) -> DataFrame:
-    """The distinct ids of (id, lead) pairs as a table of the column doc_id."""
-    return stored(pairs.select(F.explode(F.array("id", "lead")).alias("doc_id")).distinct(), folder)
+def paired(rows: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """The rows whose doc_id is in stored (id, lead) pairs. Their ids are written and counted only if they may be too many to broadcast."""
+    ids = pairs.select(F.explode(F.array("id", "lead")).alias("doc_id")).distinct()
+    if 2 * pairs.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    return among(rows, stored(ids, folder), "doc_id")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
     """Those stored (id, lead) pairs whose sizes and coordinates allow a link. classes: doc_id, n_shingles, sketch."""
-    own = among(classes.select("doc_id", "n_shingles", "sketch"), ids_of(pairs, f"{folder}-promising-ids"), "doc_id")
+    own = paired(classes.select("doc_id", "n_shingles", "sketch"), pairs, f"{folder}-promising-ids")
     both = pairs.join(own.toDF("id", "n", "sketch"), "id").join(own.toDF("lead", "lead_n", "lead_sketch"), "lead")
     least, most = SIMILAR
     close = both.where(f"least(n, lead_n) * {most} >= greatest(n, lead_n) * {least}").select("id", "lead", "sketch", "lead_sketch")
@@ -137,10 +143,11 @@ def verified(pairs: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Those stored (id, lead) pairs whose full shingle sets are similar enough. texts: doc_id, text.
 
     A lead with very many pairs is a skewed key of a plain join, which adaptive execution splits.
+    Ids with several texts may give a pair more than once.
     """
-    own = among(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids_of(pairs, f"{folder}-verified-ids"), "doc_id")
+    own = paired(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), pairs, f"{folder}-verified-ids")
     both = pairs.join(own.toDF("id", "text"), "id").join(own.toDF("lead", "lead_text"), "lead")
-    return stored(both.select("id", "lead", "text", "lead_text").mapInArrow(_verify, "id long, lead long").distinct(), f"{folder}-verified")
+    return stored(both.select("id", "lead", "text", "lead_text").mapInArrow(_verify, "id long, lead long"), f"{folder}-verified")
 
 
 def _rows_of_shingles(batches):
@@ -154,7 +161,7 @@ def _rows_of_shingles(batches):
 
 
 def across(apart: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """(id, lead) pairs of different components that may be links: every link is among them. apart: id, component.
+    """(id, lead) pairs, the larger id first, of different components that may be links: every link is among them. apart: id, component.
 
     A link shares at least 75 % of either set. So a document that shares less with all others together
     has none; and of each two linked sets, the larger one's rarest quarter of shingles meets the
@@ -175,17 +182,54 @@ def across(apart: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     short = rare.where(f"place <= n - ceil(n * {2 * least} / {least + most}) + 1")
     short = short.select("shingle", F.col("id").alias("lead"), F.col("n").alias("lead_n"), F.col("component").alias("lead_component"), (F.col("n") - F.col("place") + 1).alias("left"))
     close = f"least(n - place + 1, left) * {least + most} >= (n + lead_n) * {least}"
-    return rare.join(short, "shingle").where("component <> lead_component and n >= lead_n").where(close).select("id", "lead").distinct()
+    return rare.join(short, "shingle").where("component <> lead_component and n >= lead_n").where(close).select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead")).distinct()
 
 
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(id, component): each node that has an edge, with the smallest node reachable from it.
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges that can reach a smaller one, and the smallest that each can reach."""
+    ids, place = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    low = root != np.arange(len(ids))
+    return ids[low], ids[root[low]]
 
-    Alternating large and small stars. Each round's edges are written to the shared folder; a hot
+
+def _forests(batches, most: int):
+    held, size = [], 0
+
+    def joined():
+        u, v = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(u, v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+        size += batch.num_rows
+        if size >= most:
+            yield joined()
+            held, size = [], 0
+    if size:
+        yield joined()
+
+
+def components(edges: DataFrame, folder: str, most: int = FOREST_EDGES) -> DataFrame:
+    """(id, component): each node that reaches a smaller one, with the smallest that it can reach. edges: a stored table, may repeat rows.
+
+    Up to `most` edges are joined in one task. More are joined in parts of so many, and then by
+    alternating large and small stars. Each round's edges are written to the shared folder; a hot
     node's minimum is a partial aggregate, never a list.
     """
-    now = edges.toDF("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, seen = stored(now, f"{folder}/edges"), None
+    small_batches(edges.sparkSession)
+    few = edges.count() <= most
+    now = (edges.repartition(1) if few else edges).toDF("u", "v").where("u <> v")
+    now, seen = stored(now.mapInArrow(partial(_forests, most=most), "u long, v long"), f"{folder}/forests"), None
+    if few:
+        return now.toDF("id", "component")
     for k in counted():
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -239,17 +283,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = places.where("members > 3").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     apart = stored(placed.join(mixed, "bucket", "left_semi").select("id", "component").distinct(), f"{folder}/apart")
-    rest = across(apart, texts, f"{folder}/across").select(F.greatest("id", "lead").alias("id"), F.least("id", "lead").alias("lead"))
-    rest = stored(rest.distinct().join(stars, ["id", "lead"], "left_anti"), f"{folder}/rest")
+    rest = stored(across(apart, texts, f"{folder}/across").join(stars, ["id", "lead"], "left_anti"), f"{folder}/rest")
     if rest.take(1):
         second = verified(promising(rest, classes, f"{folder}/rest"), texts, f"{folder}/rest")
-        found = components(first.union(second), f"{folder}/components") if second.take(1) else found
+        found = components(found.union(second), f"{folder}/components") if second.take(1) else found
 
     named = classes.select("key_a", "key_b", F.col("doc_id").alias("id")).join(found, "id", "left").select("key_a", "key_b", F.coalesce("component", "id").alias("own"))
     out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key_a")).alias("key_a"), F.when(F.col("n_shingles") > 0, F.col("key_b")).alias("key_b")).join(named, ["key_a", "key_b"], "left")
     repeated = out.groupBy("doc_id").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y")
     if repeated.take(1):  # ids with rows in several components: those are one
-        joint = components(repeated.select("x", "y").union(out.join(repeated, "doc_id").select("own", "x")), f"{folder}/joint")
+        joint = components(stored(repeated.select("x", "y").union(out.join(repeated, "doc_id").select("own", "x")), f"{folder}/repeated"), f"{folder}/joint")
         out = out.join(joint, out.own == joint.id, "left").withColumn("own", F.coalesce("component", "own"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("own", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

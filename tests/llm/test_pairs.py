@@ -1,5 +1,6 @@
 """Near-duplicates and containment against brute force."""
 
+import os
 import random
 import re
 
@@ -92,6 +93,39 @@ def test_components_of_long_chains(spark, tmp_path):
     assert {got[k] for k in range(1, 201)} == {0} and {got[1001], got[1002]} == {1000}
 
 
+def test_few_edges_are_joined_in_one_step_and_many_in_parts(spark, tmp_path):
+    r = random.Random(3)
+    pairs = [(r.randrange(600), r.randrange(600)) for _ in range(330)] + [(1000 - k, 1001 - k) for k in range(150)]
+    low = {i: i for p in pairs for i in p}
+    for _ in low:  # brute force: minima go along edges
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    want = {i: m for i, m in low.items() if i != m}
+    edges = spark.createDataFrame(pairs * 2, "id long, lead long").repartition(5)
+    got = [(r.id, r.component) for r in near_dups.components(edges, f"file://{tmp_path}/one").collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert os.listdir(tmp_path / "one") == ["forests"]
+    assert dict(near_dups.components(edges, f"file://{tmp_path}/parts", most=40).collect()) == want
+    assert "round0" in os.listdir(tmp_path / "parts")
+
+
+def test_tables_that_are_written_do_not_grow_with_chains(spark, documents, families):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/siltstone"
+    before = {x for x in os.listdir(root) if x.startswith("near-dups")} if os.path.isdir(root) else set()
+    near_dups.near_duplicates(documents(families)).collect()
+    (folder,) = {x for x in os.listdir(root) if x.startswith("near-dups")} - before
+    written = [d for d, _, names in os.walk(f"{root}/{folder}") if "_SUCCESS" in names]
+    assert len(written) <= 14, written
+
+
+def test_pairs_of_many_ids_keep_their_rows(spark, tmp_path, monkeypatch):
+    rows, pairs = spark.createDataFrame([(k, str(k)) for k in range(9)], "doc_id long, text string"), spark.createDataFrame([(5, 1), (7, 1), (5, 1)], "id long, lead long")
+    few = near_dups.paired(rows, pairs, f"file://{tmp_path}/few").collect()
+    monkeypatch.setattr(near_dups, "BROADCAST_IDS", 5)
+    many = near_dups.paired(rows, pairs, f"file://{tmp_path}/many").collect()
+    assert sorted(few) == sorted(many) == [(1, "1"), (5, "5"), (7, "7")] and os.listdir(tmp_path) == ["many"]
+
+
 def test_containment_equals_brute_force(spark, documents, prose, odd_rows):
     items = [(k, prose(3000 + k, n)) for k, n in enumerate((3, 5, 6, 9, 15, 40, 41, 90, 200, 16, 16))] + [(50, None), (51, ""), (50, prose(3005, 40))]
     rows = [(k, prose(4000 + k, 80)) for k in range(20)]
